@@ -88,3 +88,10 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets is not None else np.zeros(len(column) + 1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw, at[:-1], at[1:]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``flat[start:end]`` one after the other, and their lengths."""
+    n = end - start
+    where = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+    return flat[where + np.arange(len(where))], n
