@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestore.llm import bpe, exact_dedup, language_id, line_dedup, packing, sharding
+from lodestore.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_packing": packing.op8_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_sharding": sharding.op10_sharding,
