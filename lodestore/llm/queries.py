@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestore.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding
+from lodestore.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_fertility": quality.op2_fertility,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
