@@ -222,6 +222,13 @@ def identify(df: DataFrame, network: Network | None, id_col: str = "doc_id", tex
     return rows.select("doc_id", language(network, F.col("text"), min_confidence).alias("r")).select("doc_id", "r.*")
 
 
+def drop_rejected(df: DataFrame, network: Network | None, text_col: str = "text", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The rows of ``df`` whose text ``language`` accepts, with all their columns."""
+    common.bound_batches(df.sparkSession)
+    told = df.withColumn("__language", language(network, F.col(f"`{text_col}`"), min_confidence))
+    return told.filter(F.col("__language.accepted")).drop("__language")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document of ``documents``, by a network trained on its labels."""
     docs = common.table(spark, sf_dir, "documents")

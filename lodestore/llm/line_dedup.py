@@ -20,6 +20,25 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, "[ \t\r]+", " ")))
 
 
+def _drops(rows: DataFrame, threshold: int) -> DataFrame:
+    """k1, k2 and the positions of dropped lines, of those rows (doc_id, text, k1, k2) that have some."""
+    lines = (
+        rows.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("doc_id", "k1", "k2", "pos", _normal(F.col("line")).alias("line"))
+        .filter("line <> ''")
+        # 64 + 32 bits and the length stand for the line
+        .select("doc_id", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.hash(F.reverse("line")).alias("h2"), F.octet_length("line").alias("n"))
+    )
+    held = lines.select("h1", "h2", "n", "doc_id").distinct().groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    often = common.stash(held.filter(F.col("docs") > threshold).select("h1", "h2", "n", "first_doc"), "lines")
+    return lines.join(often, ["h1", "h2", "n"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drops"))
+
+
+def _left(text: Column, drops: Column) -> Column:
+    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(drops, i))
+    return F.when(drops.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id``, ``text`` without repeated lines and ``lines_dropped``, a row for every row of ``df``.
 
@@ -32,19 +51,24 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """
     k1, k2 = common.row_keys("doc_id", "text")
     rows = common.pick(df, doc_id=id_col, text=text_col).select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-    lines = (
-        rows.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select("doc_id", "k1", "k2", "pos", _normal(F.col("line")).alias("line"))
-        .filter("line <> ''")
-        # 64 + 32 bits and the length stand for the line
-        .select("doc_id", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.hash(F.reverse("line")).alias("h2"), F.octet_length("line").alias("n"))
-    )
-    held = lines.select("h1", "h2", "n", "doc_id").distinct().groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
-    often = common.stash(held.filter(F.col("docs") > threshold).select("h1", "h2", "n", "first_doc"), "lines")
-    drops = lines.join(often, ["h1", "h2", "n"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drops"))
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("drops", i))
-    out = rows.join(drops, ["k1", "k2"], "left")
-    return out.select("doc_id", F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("lines_dropped"))
+    out = rows.join(_drops(rows, threshold), ["k1", "k2"], "left")
+    return out.select("doc_id", _left(F.col("text"), F.col("drops")).alias("text"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("lines_dropped"))
+
+
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", threshold: int = THRESHOLD) -> DataFrame:
+    """``df`` with all its rows and columns, its texts as ``dedup_lines`` leaves them.
+
+    Where a text has changed, ``size_col`` gets its number of characters.
+    """
+    k1, k2 = common.row_keys("doc_id", "text")
+    drops = _drops(common.pick(df, doc_id=id_col, text=text_col).select("doc_id", "text", k1.alias("k1"), k2.alias("k2")), threshold)
+    own = ["__lines_k1", "__lines_k2"]
+    k1, k2 = common.row_keys(id_col, text_col)
+    met = df.withColumns(dict(zip(own, (k1, k2), strict=True))).join(drops.select(F.col("k1").alias(own[0]), F.col("k2").alias(own[1]), F.col("drops").alias("__lines_drops")), own, "left")
+    gone = F.col("__lines_drops")
+    text = _left(F.col(f"`{text_col}`"), gone)
+    new = {text_col: text, size_col: F.when(gone.isNull(), F.col(f"`{size_col}`")).otherwise(F.length(text).cast(df.schema[size_col].dataType))}
+    return met.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
