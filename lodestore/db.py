@@ -34,29 +34,33 @@ class ObjectDB:
         if not os.path.isdir(self.path):
             raise FileNotFoundError(f"no object store: {path}")
 
-    def scan(self, kind: str) -> DataFrame:
-        return self.spark.read.format("objectdb").options(path=self.path, kind=kind, mode=self.mode).load()
+    def scan(self, kind: str, prefix: str | None = None, packs: list[str] | None = None) -> DataFrame:
+        """A table of the source; a prefix or packs leave files and stretches of indexes out that can't match."""
+        less = ({"prefix": oid.check_prefix(prefix)} if prefix else {}) | ({"packs": ",".join(packs)} if packs is not None else {})
+        df = self.spark.read.format("objectdb").options(path=self.path, kind=kind, mode=self.mode, **less).load()
+        df = df.filter(oid.matches(F.col("oid"), prefix)) if prefix else df
+        return df.filter(F.col("pack_id").isin(packs)) if packs is not None else df
 
-    def loose_ids(self) -> DataFrame:
-        return self.scan("ids")
+    def loose_ids(self, prefix: str | None = None) -> DataFrame:
+        return self.scan("ids", prefix)
 
     def packs(self) -> DataFrame:
         return self.scan("packs")
 
-    def entries(self) -> DataFrame:
-        return self.scan("entries")
+    def entries(self, prefix: str | None = None, packs: list[str] | None = None) -> DataFrame:
+        return self.scan("entries", prefix, packs)
 
-    def headers(self) -> DataFrame:
-        return self.scan("headers")
+    def headers(self, packs: list[str] | None = None) -> DataFrame:
+        return self.scan("headers", None, packs)
 
-    def resolved(self) -> DataFrame:
-        return delta.resolve(self.headers())
+    def resolved(self, packs: list[str] | None = None) -> DataFrame:
+        return delta.resolve(self.headers(packs))
 
-    def locations(self) -> DataFrame:
-        """oid, store, path, pack_id, offset, idx_pos of every copy of every object."""
+    def locations(self, prefix: str | None = None) -> DataFrame:
+        """oid, store, path, pack_id, offset, idx_pos of every copy of every object, or of those with a prefix."""
         none = lambda t: F.lit(None).cast(t)
-        loose = self.loose_ids().select("oid", F.lit("loose").alias("store"), "path", none("string").alias("pack_id"), none("bigint").alias("offset"), none("bigint").alias("idx_pos"))
-        packed = self.entries().select("oid", F.lit("packed").alias("store"), oid.pack_path(self.path, F.col("pack_id")).alias("path"), "pack_id", "offset", "idx_pos")
+        loose = self.loose_ids(prefix).select("oid", F.lit("loose").alias("store"), "path", none("string").alias("pack_id"), none("bigint").alias("offset"), none("bigint").alias("idx_pos"))
+        packed = self.entries(prefix).select("oid", F.lit("packed").alias("store"), oid.pack_path(self.path, F.col("pack_id")).alias("path"), "pack_id", "offset", "idx_pos")
         return loose.unionByName(packed)
 
     def ids(self) -> DataFrame:
@@ -65,21 +69,25 @@ class ObjectDB:
 
     def objects(self, ids: DataFrame | None = None) -> DataFrame:
         """Every object once, or those in ``ids``: loose before packed, then the lowest pack."""
-        places = lookup.first_match(self.locations() if ids is None else lookup.select_ids(self.locations(), ids))
-        none = lambda t: F.lit(None).cast(t)
-        loose = self.scan("loose")
-        packed = places.filter("store = 'packed'").select("oid", "pack_id", "offset")
+        loose, places = self.scan("loose"), self.locations()
         if ids is not None:
-            loose = lookup.select_ids(loose, ids)
+            loose, places = lookup.select_ids(loose, ids), lookup.select_ids(places, ids)
+        return self._objects(loose, places, self.resolved(), ids)
+
+    def _objects(self, loose: DataFrame, places: DataFrame, resolved: DataFrame, ids: DataFrame | None) -> DataFrame:
+        none = lambda t: F.lit(None).cast(t)
+        packed = lookup.first_match(places).filter("store = 'packed'").select("oid", "pack_id", "offset")
         loose = loose.select("oid", "type", "size", "payload", F.lit("loose").alias("store"), "path", none("string").alias("pack_id"), none("bigint").alias("offset"))
-        found = delta.contents(self.resolved(), None if ids is None else ids).join(packed, ["oid", "pack_id", "offset"], "left_semi")
+        found = delta.contents(resolved, ids).join(packed, ["oid", "pack_id", "offset"], "left_semi")
         found = found.select("oid", "type", "size", "payload", F.lit("packed").alias("store"), oid.pack_path(self.path, F.col("pack_id")).alias("path"), "pack_id", "offset")
         return loose.unionByName(found)
 
     def get(self, prefix: str) -> DataFrame:
-        """The one object with a prefix; Missing or Ambiguous otherwise."""
-        one = lookup.resolve(self.locations(), prefix)
-        return self.objects(self.spark.createDataFrame([(one,)], "oid string"))
+        """The one object with a prefix; Missing or Ambiguous otherwise. Only its folder, or its packs, are read."""
+        one = lookup.resolve(self.locations(prefix), prefix)
+        own = [r.pack_id for r in self.entries(one).select("pack_id").distinct().collect()]
+        ids = self.spark.createDataFrame([(one,)], "oid string")
+        return self._objects(self.scan("loose", one), self.locations(one), self.resolved(own), ids)
 
     def commits(self, preset: str = "full") -> DataFrame:
         return self.objects().filter("type = 'commit'").select("oid", *objects.parse_commit(F.col("payload"), preset))

@@ -26,7 +26,7 @@ def render(found: DataFrame, digits: int = 40) -> DataFrame:
 
 def resolve_ambiguous(db: ObjectDB, prefix: str) -> DataFrame:
     """The ids with a prefix, each once, in order."""
-    return lookup.distinct_ids(db.locations(), prefix)
+    return lookup.distinct_ids(db.locations(prefix), prefix)
 
 
 def index_line(digits: int = 40):
@@ -36,14 +36,14 @@ def index_line(digits: int = 40):
 
 def show_index(db: ObjectDB, pack_id: str, digits: int = 40) -> DataFrame:
     """idx_pos and line, in the order of the index."""
-    return db.entries().filter(F.col("pack_id") == pack_id).select("idx_pos", index_line(digits).alias("line")).orderBy("idx_pos")
+    return db.entries(packs=[pack_id]).select("idx_pos", index_line(digits).alias("line")).orderBy("idx_pos")
 
 
 def verify_pack(db: ObjectDB, pack_id: str, digits: int = 40) -> DataFrame:
     """offset and line (id, type, size as stored, size in the pack, offset, depth and base), in the order of offsets."""
     from lodestore.operators import delta
 
-    rows = delta.resolve(db.headers().filter(F.col("pack_id") == pack_id))
+    rows = delta.resolve(db.headers([pack_id]))
     return rows.select("offset", pack_line(digits).alias("line")).orderBy("offset")
 
 
@@ -54,7 +54,7 @@ def pack_line(digits: int = 40):
 
 def log_oneline(db: ObjectDB, prefix: str, limit: int | None = None, digits: int = 40) -> DataFrame:
     """depth and line (id and subject), from the commit with a prefix along first parents."""
-    head = lookup.resolve(db.locations(), prefix)
+    head = lookup.resolve(db.locations(prefix), prefix)
     return log(db.commits("parents_subject"), db.spark.createDataFrame([(head,)], "oid string"), limit, digits).select("depth", "line").orderBy("depth")
 
 
@@ -72,8 +72,8 @@ def list_ids(db: ObjectDB) -> DataFrame:
 
 def which_pack(db: ObjectDB, prefix: str) -> DataFrame:
     """oid, store and path of every copy of the one object with a prefix."""
-    one = lookup.resolve(db.locations(), prefix)
-    return db.locations().filter(F.col("oid") == one).select("oid", "store", "pack_id", "path", "offset")
+    one = lookup.resolve(db.locations(prefix), prefix)
+    return db.locations(one).select("oid", "store", "pack_id", "path", "offset")
 
 
 def walk(db: ObjectDB, prefix: str) -> DataFrame:

@@ -9,8 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The source's predicates only reach it with this set.
-SETTINGS = {"spark.sql.python.filterPushdown.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+SETTINGS = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC"}
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -7,10 +7,12 @@ kind=headers        entries with type, size and base from the pack, without infl
 kind=loose_headers  type and size of loose objects, from their first bytes
 kind=loose          loose objects, inflated
 
-A source can't be told which columns are wanted, so payloads are a kind of their own. Predicates on ``oid`` (equality,
-IN, prefix, bounds) and ``pack_id`` are pushed down: other folders are not listed, and of an index only the positions
-are read that its fanout leaves. Folders and slices are partitions. mode=PERMISSIVE skips damaged files, FAILFAST
-(the default) fails. The folder has to be mounted on every executor.
+A source can't be told which columns are wanted, so payloads are a kind of their own. The options prefix, low and high
+(ids, ends included) and packs (pack ids, by commas) leave out folders that can't match, and of an index all but the
+positions that its fanout leaves; rows beside them may remain, so a filter belongs on top. They are options because in
+Spark 4.1 what one scan of a DataFrame pushes into a Python source stays there for its next scan, which then lacks
+rows. Folders and slices are partitions. mode=PERMISSIVE skips damaged files, FAILFAST (the default) fails. The folder
+has to be mounted on every executor.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestore import formats
 from lodestore.schema import KINDS
@@ -74,34 +76,17 @@ class ObjectStoreReader(DataSourceReader):
         self.root, self.kind = options["path"].rstrip("/"), options.get("kind", "ids")
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.slice = int(options.get("slice", SLICE))
-        #: Ranges of ids, ends included, that can match; all of them have to be tried.
+        #: Ranges of ids, ends included, that can match.
         self.ranges: list[tuple[str, str]] = [(_LOW, _HIGH)]
-        self.only: set[str] | None = None
+        if prefix := options.get("prefix", "").lower():
+            self._narrow(prefix, prefix.ljust(40, "f"))
+        self._narrow(options.get("low", _LOW), options.get("high", _HIGH))
+        self.only = {p for p in options["packs"].split(",") if p} if "packs" in options else None
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"no object store: {self.root}")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            column, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
-            if column == "oid":
-                if isinstance(f, EqualTo):
-                    self._narrow([(value, value)])
-                elif isinstance(f, In):
-                    self._narrow([(v, v) for v in f.value if v is not None])
-                elif isinstance(f, StringStartsWith):
-                    self._narrow([(value, value.ljust(40, "f"))])
-                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self._narrow([(value, _HIGH)])
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self._narrow([(_LOW, value)])
-            elif column == "pack_id" and isinstance(f, (EqualTo, In)):
-                named = {value} if isinstance(f, EqualTo) else set(f.value)
-                self.only = named if self.only is None else self.only & named
-            # Spark applies every predicate again; what is read here is only less
-            yield f
-
-    def _narrow(self, ranges: list[tuple[str, str]]) -> None:
-        self.ranges = [(max(a, c), min(b, d)) for a, b in self.ranges for c, d in ranges if max(a, c) <= min(b, d)]
+    def _narrow(self, low: str, high: str) -> None:
+        self.ranges = [(max(a, low), min(b, high)) for a, b in self.ranges if max(a, low) <= min(b, high)]
 
     def packs(self) -> list[str]:
         folder = f"{self.root}/pack"

@@ -36,7 +36,14 @@ class LooseStream(DataSourceStreamReader):
         return {"ns": 0}
 
     def latestOffset(self) -> dict:
-        return {"ns": time.time_ns() - SETTLE_NS}
+        """The time of the newest object; it stays where it is while none comes, so that a stream comes to rest."""
+        settled, newest = time.time_ns() - SETTLE_NS, 0
+        for n in range(256):
+            folder = f"{self.root}/{n:02x}"
+            if os.path.isdir(folder):
+                with os.scandir(folder) as found:
+                    newest = max([newest, *(t for f in found if len(f.name) == 38 and (t := f.stat().st_mtime_ns) <= settled)])
+        return {"ns": newest}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         found = [f"{n:02x}" for n in range(256) if os.path.isdir(f"{self.root}/{n:02x}")]

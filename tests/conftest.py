@@ -16,7 +16,6 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
