@@ -27,11 +27,12 @@ def chain(edges: DataFrame, heads: DataFrame, limit: int | None = None) -> DataF
         if limit is not None and 1 << k >= limit:
             break
         more = stash(reach.join(jump, "node").select("head", F.col("parent").alias("node"), (F.col("depth") + (1 << k)).alias("depth")), "reach")
-        if more.isEmpty():
+        found = more.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("head") == F.col("node")).alias("own")).first()
+        if not found.n:
             break
-        if not more.filter("head = node").isEmpty():
+        if found.own:
             raise Circle("a node is its own ancestor")
-        reach = stash(reach.unionByName(more), "reach")
+        reach = reach.unionByName(more)
         jump = stash(jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.node")).select("a.node", "b.parent"), "jump")
     else:
         raise Circle("a chain does not end")
@@ -41,14 +42,17 @@ def chain(edges: DataFrame, heads: DataFrame, limit: int | None = None) -> DataF
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root, depth) of every node; edges are (node, parent), a node without parent has null."""
     at = stash(edges.select("node", F.coalesce("parent", "node").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "roots")
-    for _ in range(ROUNDS):
+    # n nodes have chains of n - 1 steps at most
+    for _ in range(at.count().bit_length() + 1):
         ahead = at.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         met = at.join(ahead, "root", "left")
-        if met.filter("more > 0").isEmpty():
-            return at
-        at = stash(met.select("node", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "roots")
-        if not at.filter("node = root and depth > 0").isEmpty():
+        at = stash(met.select("node", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), "roots")
+        found = at.agg(F.count_if("moved").alias("moved"), F.count_if((F.col("node") == F.col("root")) & (F.col("depth") > 0)).alias("own")).first()
+        at = at.drop("moved")
+        if found.own:
             raise Circle("a node is its own ancestor")
+        if not found.moved:
+            return at
     raise Circle("a chain does not end")
 
 
