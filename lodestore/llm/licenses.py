@@ -26,6 +26,11 @@ MIN_SHARE, SLACK = 0.7, 2
 _GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation either version {1} of the license or at your option any later version"
 _WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
 
+#: What follows CC in a licence's name, and in words.
+_CC = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+#: Licences found by their SPDX identifiers.
+_SPDX = ["Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", *(f"CC-{code}-4.0" for code in _CC), "CC0-1.0", "Unlicense"]
+
 #: (licence, words, phrases that a match must have); words are runs of letters and digits in lower case.
 TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("Apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
@@ -37,9 +42,9 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("BSD-2-Clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")),
     ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
     *(
-        (f"{name}-{v}.0", text, phrases)
-        for name, long, spoken in (("GPL", "", "gnu general public license"), ("LGPL", "lesser ", "gnu lesser general public license"), ("AGPL", "affero ", "gnu affero general public license"))
-        for v in (2, 3)
+        (f"{name}-{v.replace(' ', '.') if ' ' in v else v + '.0'}", text, phrases)
+        for name, long, spoken, versions in (("GPL", "", "gnu general public license", "2 3"), ("LGPL", "lesser ", "gnu lesser general public license", "2 2.1 3"), ("AGPL", "affero ", "gnu affero general public license", "2 3"))
+        for v in (x.replace(".", " ") for x in versions.split())
         for text, phrases in (
             (f"this work is licensed under the {spoken} version {v}", (f"{spoken} version {v}",)),
             (f"released under the {spoken} version {v}", (f"{spoken} version {v}",)),
@@ -47,9 +52,13 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
         )
     ),
     ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
-    *((f"CC-{code}-4.0", f"this work is licensed under a creative commons {words} 4 0 international license", (f"creative commons {words} 4 0 international",)) for code, words in (("BY", "attribution"), ("BY-SA", "attribution sharealike"), ("BY-NC", "attribution noncommercial"))),
+    *((f"CC-{code}-4.0", f"this work is licensed under a creative commons {words} 4 0 international license", (f"creative commons {words} 4 0 international",)) for code, words in _CC.items()),
+    *((f"CC-{code}-4.0", f"licensed under {short}", (short,)) for code in _CC for short in [f"cc {code.lower().replace('-', ' ')} 4 0"]),
     ("CC0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     ("Unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+    *((name, f"{verb} under the {short} license", (f"{short} license",)) for name, short in (("BSD", "bsd"), ("BSD-2-Clause", "bsd 2 clause"), ("BSD-3-Clause", "bsd 3 clause")) for verb in ("licensed", "released")),
+    ("BSD", "use of this source code is governed by a bsd style license", ("bsd style license",)),
+    *((name, text, (text,)) for name in _SPDX for text in [f"spdx license identifier {re.sub('[^a-z0-9]', ' ', name.lower())}"]),
 ]
 
 FOUND = "doc_id long, license string, start long, words long, share double"

@@ -79,6 +79,28 @@ def test_every_document_with_a_notice(spark):
     assert got == has
 
 
+def test_every_notice_of_the_tables(spark):
+    for sf in ("0.01", "0.1"):
+        df = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        has = {r.doc_id for r in df.filter(F.col("text").rlike("(?im)^.*(licensed|released) under .*$")).collect()}
+        cc = {r.doc_id for r in df.filter(F.col("text").contains("Licensed under CC BY-NC 4.0.")).collect()}
+        got = licenses.scan_licenses(df).collect()
+        assert {r.doc_id for r in got} == has and cc < has
+        assert {r.doc_id for r in got if r.license == "CC-BY-NC-4.0"} == cc != set()
+
+
+def test_short_notices():
+    index = licenses.Index().rank(np.zeros(999, int))
+    for name, text in (
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-SA-4.0", "licensed under CC-BY-NC-SA-4.0"), ("BSD", "Released under the BSD license."),
+        ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"), ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("LGPL-2.1", "Released under the GNU Lesser General Public License, version 2.1."), ("LGPL-2.0", "Released under the GNU Lesser General Public License, version 2."), ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ):
+        assert [x[0] for x in index.scan(numbers(index, f"a b c {text} d e"))] == [name], text
+    for text in ("the cc by 4 of them", "bsd", "a bsd license", "spdx license identifier", "nc 4 0"):
+        assert index.scan(numbers(index, text)) == []
+
+
 def test_odd(spark, odd, none):
     more = spark.createDataFrame([(1, "MIT license, released under the MIT License", "en", "s", 1), (None, "Released under the MIT License", "en", "s", 1), (2, "Released under the MIT License", None, None, None)] * 2 + [(3, "word " * 100_000 + "released under the MIT license", "en", "s", 1)], odd.schema)
     got = licenses.scan_licenses(odd.unionByName(more))
