@@ -2,8 +2,11 @@
 
 A partial partition is a k-tuple of sums. The two with the largest spread are combined oppositely ordered, largest
 with smallest, until one is left. Groups are spread over leaves by a hash of their key; each leaf is differenced in
-an executor and leaves one k-tuple, and those are differenced in the same way, level by level, so neither a task nor
-the driver ever holds all groups. Only the k-tuples (k numbers a leaf) reach the driver.
+an executor and leaves one k-tuple, and those are differenced in the same way, so neither a task nor the driver ever
+holds all groups. A group that is large beside a shard's part of a leaf can't be evened out inside its leaf. Such hot
+groups, fewer than HOT * k a leaf, stay out of the leaves and are differenced first; each leaf is then differenced
+together with its part of their k sums, so that it fills the shards around them. Only hot groups and the k-tuples (k
+numbers a leaf) reach the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from lodestore.llm import common
 SHARDS = 16
 #: Groups that one task differences.
 LEAF_GROUPS = 20_000
+#: A group is hot if it has more than this part of a shard's mean bytes in a leaf.
+HOT = 16
 
 
 def differencing(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +65,23 @@ def differencing(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return final, slots
 
 
-def _leaf(k: int):
+def _leaf(hot: np.ndarray, rest: int):
+    """Differences a leaf together with its part of the sums ``hot``; ``rest`` are the bytes of all leaves.
+
+    Slots are those of ``hot``, so that slot i of every leaf is filled around sum i.
+    """
+    k = len(hot)
+
     def run(groups: pd.DataFrame) -> pd.DataFrame:
         groups = groups.sort_values(["bytes", "g1", "g2"], ascending=[False, True, True], kind="stable")
-        sizes = np.zeros((len(groups), k), np.int64)
-        sizes[:, 0] = groups["bytes"]
-        final, slots = differencing(sizes)
-        return pd.DataFrame({"leaf": groups["leaf"], "g1": groups["g1"], "g2": groups["g2"], "slot": slots[:, 0], "load": final[slots[:, 0]]})
+        sizes = np.zeros((len(groups) + 1, k), np.int64)
+        sizes[:-1, 0] = groups["bytes"]
+        sizes[-1] = np.rint(hot * (groups["bytes"].sum() / max(1, rest)))
+        _, slots = differencing(sizes)
+        slot = np.argsort(slots[-1])[slots[:-1, 0]]
+        load = np.zeros(k, np.int64)
+        np.add.at(load, slot, sizes[:-1, 0])
+        return pd.DataFrame({"leaf": groups["leaf"], "g1": groups["g1"], "g2": groups["g2"], "slot": slot, "load": load[slot]})
 
     return run
 
@@ -84,16 +99,26 @@ def shard(df: DataFrame, group: Column, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("bytes"),
     )
     rows = common.stash(rows, "rows")
-    groups = rows.groupBy("g1", "g2").agg(F.sum("bytes").alias("bytes"))
-    leaves = max(1, -(-groups.count() // leaf_groups))
-    leafed = groups.withColumn("leaf", F.pmod("g1", F.lit(leaves)).cast("int"))
-    slots = common.stash(leafed.groupBy("leaf").applyInPandas(_leaf(shards), "leaf int, g1 long, g2 long, slot int, load long"), "slots")
-    sums = slots.groupBy("leaf", "slot").agg(F.first("load").alias("load")).toPandas() if leaves > 1 else pd.DataFrame({"leaf": [], "slot": [], "load": []})
-    loads = np.zeros((leaves, shards), np.int64)
-    loads[sums["leaf"].astype(int), sums["slot"].astype(int)] = sums["load"]
-    _, final = differencing(loads)
-    merged = spark.createDataFrame(pd.DataFrame({"leaf": np.repeat(np.arange(leaves, dtype=np.int32), shards), "slot": np.tile(np.arange(shards, dtype=np.int32), leaves), "shard": final.ravel()}), "leaf int, slot int, shard long")
-    placed = slots.join(merged, ["leaf", "slot"]).select("g1", "g2", "shard")
+    groups = common.stash(rows.groupBy("g1", "g2").agg(F.sum("bytes").alias("bytes")), "groups")
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    leaves = max(1, -(-n // leaf_groups))
+    # a single leaf is whole differencing, nothing is hot there
+    hot = F.col("bytes") > (total // (shards * leaves * HOT) if leaves > 1 else total)
+    own = groups.filter(hot).toPandas().sort_values(["bytes", "g1", "g2"], ascending=[False, True, True], kind="stable")
+    sizes = np.zeros((len(own) + 1, shards), np.int64)
+    sizes[:-1, 0] = own["bytes"]
+    around, of_hot = differencing(sizes)
+    leafed = groups.filter(~hot).withColumn("leaf", F.pmod("g1", F.lit(leaves)).cast("int"))
+    slots = common.stash(leafed.groupBy("leaf").applyInPandas(_leaf(around, total - int(own["bytes"].sum())), "leaf int, g1 long, g2 long, slot int, load long"), "slots")
+    if len(own):
+        placed = slots.select("g1", "g2", F.col("slot").cast("long").alias("shard")).union(spark.createDataFrame(pd.DataFrame({"g1": own["g1"], "g2": own["g2"], "shard": of_hot[:-1, 0]}), "g1 long, g2 long, shard long"))
+    else:
+        sums = slots.groupBy("leaf", "slot").agg(F.first("load").alias("load")).toPandas() if leaves > 1 else pd.DataFrame({"leaf": [], "slot": [], "load": []})
+        loads = np.zeros((leaves, shards), np.int64)
+        loads[sums["leaf"].astype(int), sums["slot"].astype(int)] = sums["load"]
+        _, final = differencing(loads)
+        merged = spark.createDataFrame(pd.DataFrame({"leaf": np.repeat(np.arange(leaves, dtype=np.int32), shards), "slot": np.tile(np.arange(shards, dtype=np.int32), leaves), "shard": final.ravel()}), "leaf int, slot int, shard long")
+        placed = slots.join(merged, ["leaf", "slot"]).select("g1", "g2", "shard")
     return rows.join(placed, ["g1", "g2"]).select("doc_id", F.col("g1").alias("group_key"), "bytes", "shard")
 
 

@@ -122,3 +122,22 @@ def test_shards_keep_groups_whole_and_balance(spark, odd):
     assert rows(again[0]) == rows(again[1])
     got = sharding.shard(odd, F.col("source"), shards=2).collect()
     assert len(got) == len(ODD) and len({r.shard for r in got}) == 2
+
+
+def test_hot_groups_over_several_leaves(spark):
+    rng = random.Random(5)
+    small = [("x" * rng.randint(50, 150) + str(i), 1) for i in range(240)]
+    # one group of a shard's mean, two of half of it, each of many rows
+    hot = [("h" * 79 + "0", 150), ("h" * 79 + "1", 75), ("h" * 79 + "2", 75)]
+    texts = [t for t, n in small + hot for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = []
+    for leaf in (41, 10**6):
+        got = sharding.shard(df, F.col("text"), shards=4, leaf_groups=leaf).join(df, "doc_id").toPandas()
+        assert len(got) == len(texts) and (got.groupby("text")["shard"].nunique() == 1).all()
+        load = got.groupby("shard")["bytes"].sum()
+        out.append(load.max() / load.mean())
+    # six leaves do as well as whole differencing
+    assert max(out) < 1.02, out
+    again = [sharding.shard(df.repartition(n), F.col("text"), shards=4, leaf_groups=41) for n in (1, 5)]
+    assert rows(again[0]) == rows(again[1])
