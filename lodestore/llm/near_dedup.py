@@ -9,8 +9,10 @@ Pairs up to REACH bits apart are taken too where they collide, which most do. A
 hashes of their word pairs are within PAIR_RADIUS as well. Near copies are linked into groups, and the document with
 the smallest identifier stays.
 
-Only distinct fingerprints are searched, sixteen bytes for each table, as packed arrays: texts don't move for it, and
-thousands of copies are one fingerprint.
+Only distinct fingerprints are searched, as packed arrays: texts don't move for it, and thousands of copies are one
+fingerprint. The tables are gone through twice: first with sixteen bytes a fingerprint, to see which have any other
+within reach; then with those only and with the hashes of their word pairs, to apply both radii to every pair of a
+bucket. What is left of a bucket is a spanning forest of all its accepted pairs.
 """
 
 from __future__ import annotations
@@ -123,11 +125,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _tables(parts: int):
-    """Sends each fingerprint to its part of every table, packed."""
+    """Sends each fingerprint, its halves first, to its part of every table, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.stack([b.column(i).to_numpy() for i in (0, 1)], 1).view(np.uint64)
+            fp = np.stack([c.to_numpy() for c in b.columns], 1).view(np.uint64)
             slots, packs, size = [], [], 0
             for t, (half, mask) in enumerate(TABLES):
                 part = common.mix(fp[:, half] & mask) % np.uint64(parts)
@@ -136,7 +138,7 @@ def _tables(parts: int):
                 for own in np.split(order, cuts) if len(order) else []:
                     slots.append(t * parts + int(part[own[0]]))
                     packs.append(fp[own].tobytes())
-                    size += 16 * len(own)
+                    size += fp.itemsize * fp.shape[1] * len(own)
                 if size > common.ARROW_BATCH_BYTES or t + 1 == len(TABLES):
                     yield pa.record_batch([pa.array(slots, pa.int64()), pa.array(packs, pa.binary())], names=["slot", "pack"])
                     slots, packs, size = [], [], 0
@@ -144,52 +146,90 @@ def _tables(parts: int):
     return run
 
 
-def linked(fp: np.ndarray, half: int, mask: np.uint64, reach: int) -> np.ndarray:
+def _root(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The roots of ``i``, whose paths are shortened."""
+    r = parent[i]
+    while (up := parent[r] != r).any():
+        r[up] = parent[r[up]]
+    parent[i] = r
+    return r
+
+
+def linked(fp: np.ndarray, half: int, mask: np.uint64, reach: int, pair_radius: int = PAIR_RADIUS) -> np.ndarray:
     """Pairs of rows of ``fp`` whose halves agree under ``mask`` and that are at most ``reach`` bits apart.
 
-    All pairs that agree are compared. Of each fingerprint's matches two are returned, its nearest and its first, which
-    hold the bucket together. Rows are (x, y, x, y), signed.
+    If rows have the two halves of the hash of word pairs as well, these are at most ``pair_radius`` bits apart. All
+    pairs that agree are compared; those returned are a spanning forest of all that are near enough. Rows are a row of
+    ``fp`` and another, signed.
     """
     key = fp[:, half] & mask
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
     fp, key = fp[order], key[order]
-    order = np.lexsort((fp[:, 1], fp[:, 0], key))
+    order = np.lexsort((*fp.T[::-1], key))
     fp, key = fp[order], key[order]
     n = len(fp)
-    near, best, first = np.full(n, -1), np.full(n, 129), np.full(n, -1)
+    parent, pairs = np.arange(n), [np.zeros((0, 2), np.int64)]
     at, step = np.arange(max(0, n - 1)), 1
     while len(at := at[key[at] == key[at + step]]):
-        d = np.bitwise_count(fp[at] ^ fp[at + step]).sum(1, dtype=np.int64)
-        ok = d <= reach
-        i, d = at[ok], d[ok]
+        i = at[np.bitwise_count(fp[at, :2] ^ fp[at + step, :2]).sum(1, dtype=np.int64) <= reach]
+        i = i[np.bitwise_count(fp[i, 2:] ^ fp[i + step, 2:]).sum(1, dtype=np.int64) <= pair_radius]
         j = i + step
-        first[j] = i
-        for p, q in ((i, j), (j, i)):
-            nearer = d < best[p]
-            best[p[nearer]], near[p[nearer]] = d[nearer], q[nearer]
+        while len(i):
+            a, b = _root(parent, i), _root(parent, j)
+            i, j, a, b = (x[a != b] for x in (i, j, a, b))
+            # each root is hung once, on a lower one
+            high, one = np.unique(np.maximum(a, b), return_index=True)
+            parent[high] = np.minimum(a, b)[one]
+            pairs.append(np.stack([i[one], j[one]], 1))
         step += 1
         at = at[at + step < n]
-    p = np.arange(n)
-    pairs = np.concatenate([np.stack([p[x >= 0], x[x >= 0]], 1) for x in (near, first)])
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    return fp.view(np.int64)[pairs].reshape(-1, 4)
+    return fp.view(np.int64)[np.concatenate(pairs)].reshape(-1, 2 * fp.shape[1])
+
+
+#: A fingerprint, and one with the hash of word pairs.
+_PRINT, _NODE = "x long, y long", "x long, y long, v1 long, v2 long"
+
+
+def _packed(group: pa.Table, parts: int, width: int) -> tuple[np.ndarray, int, np.uint64]:
+    half, mask = TABLES[group.column("slot")[0].as_py() // parts]
+    return np.frombuffer(b"".join(x.as_py() for x in group.column("pack")), np.uint64).reshape(-1, width), half, mask
+
 
+def _reached(parts: int, reach: int):
+    """The fingerprints that have another within reach."""
 
-def _links(parts: int, reach: int):
     def run(group: pa.Table) -> pa.Table:
-        half, mask = TABLES[group.column("slot")[0].as_py() // parts]
-        fp = np.frombuffer(b"".join(x.as_py() for x in group.column("pack")), np.uint64).reshape(-1, 2)
-        pairs = linked(fp, half, mask, reach)
-        end = lambda i: pa.StructArray.from_arrays([pa.array(pairs[:, i]), pa.array(pairs[:, i + 1])], ["x", "y"])
-        return pa.table({"a": end(0), "b": end(2)})
+        ends = np.unique(linked(*_packed(group, parts, 2), reach).reshape(-1, 2), axis=0)
+        return pa.table({"x": ends[:, 0], "y": ends[:, 1]})
 
     return run
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
+def _links(parts: int, reach: int, pair_radius: int):
+    def run(group: pa.Table) -> pa.Table:
+        pairs = linked(*_packed(group, parts, 4), reach, pair_radius)
+        end = lambda i: pa.StructArray.from_arrays([pa.array(pairs[:, i + k]) for k in range(4)], ["x", "y", "v1", "v2"])
+        return pa.table({"a": end(0), "b": end(4)})
+
+    return run
+
+
+def _parts(prints: DataFrame) -> int:
+    return max(1, -(-prints.count() * 8 * len(prints.columns) // PART_BYTES))
+
+
+def near_links(prints: DataFrame, reach: int, pair_radius: int) -> DataFrame:
+    """Links a, b between near ones of the distinct ``prints`` (x, y, v1, v2) that hold all near ones together."""
+    halves = prints.select("x", "y")
+    parts = _parts(halves)
+    reached = halves.mapInArrow(_tables(parts), "slot long, pack binary").groupBy("slot").applyInArrow(_reached(parts, reach), _PRINT).distinct()
+    prints = common.stash(prints.join(reached, ["x", "y"], "left_semi"), "reached")
+    parts = _parts(prints)
+    packed = prints.mapInArrow(_tables(parts), "slot long, pack binary")
+    node = f"struct<{_NODE.replace(' long', ': long')}>"
+    return packed.groupBy("slot").applyInArrow(_links(parts, reach, pair_radius), f"a {node}, b {node}").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,16 +268,12 @@ def _verdicts(df: DataFrame, id_col: str, text_col: str, reach: int, pair_radius
     # of texts with one fingerprint, the first stands for all
     named = rows.filter("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "v1", "v2")).alias("r"))
     prints = common.stash(named.select("fp", F.col("r.v1").alias("r1"), F.col("r.v2").alias("r2")), "distinct")
-    parts = max(1, -(-prints.count() * 16 // PART_BYTES))
-    packed = prints.select("fp.x", "fp.y").mapInArrow(_tables(parts), "slot long, pack binary")
-    found = packed.groupBy("slot").applyInArrow(_links(parts, reach), "a struct<x: long, y: long>, b struct<x: long, y: long>").distinct()
-    sides = [prints.select(F.col("fp").alias(x), F.col("r1").alias(f"{x}1"), F.col("r2").alias(f"{x}2")) for x in "ab"]
-    near = found.join(sides[0], "a").join(sides[1], "b").filter(_apart("a", "b") <= pair_radius).select("a", "b")
+    near = near_links(prints.select("fp.x", "fp.y", F.col("r1").alias("v1"), F.col("r2").alias("v2")), reach, pair_radius)
     roots = components(near)
-    told = rows.join(prints, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    told = rows.join(prints, "fp", "left").join(roots.select(F.struct("node.x", "node.y").alias("fp"), "root"), "fp", "left")
     # a text without words is a group of its own, as is one whose word pairs are far from its fingerprint's first
     apart = F.bit_count(F.col("v1").bitwiseXOR(F.col("r1"))) + F.bit_count(F.col("v2").bitwiseXOR(F.col("r2")))
-    group = F.when(F.col("fp").isNull(), _group(0, "k1", "k2")).when(apart <= pair_radius, _group(1, F.coalesce("root", "fp")["x"], F.coalesce("root", "fp")["y"])).otherwise(_group(2, "fp.x", "fp.y", "v1", "v2"))
+    group = F.when(F.col("fp").isNull(), _group(0, "k1", "k2")).when(apart <= pair_radius, _group(1, F.coalesce("root.x", "fp.x"), F.coalesce("root.y", "fp.y"))).otherwise(_group(2, "fp.x", "fp.y", "v1", "v2"))
     inside = Window.partitionBy("g.kind", "g.x", "g.y", "g.z", "g.w").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")
     told = told.withColumn("g", group).select("doc_id", "k1", "k2", F.first("doc_id").over(inside).alias("keeper_id"), (F.row_number().over(inside) > 1).alias("is_duplicate"), F.col("fp").isNull().alias("bare"))
     return told.withColumn("is_duplicate", F.col("is_duplicate") & ~F.col("bare")).drop("bare")

@@ -68,6 +68,37 @@ def test_links_hold_each_bucket_together():
     assert len({*zip(a, b)}) == len({*a}) == len({*b})
 
 
+def test_links_are_a_spanning_forest_under_both_radii():
+    half, mask = nd.TABLES[200]
+    # bits that the mask leaves open: the half itself stays equal under it
+    free = [i for i in range(128) if i // 64 != half or not int(mask) >> (i % 64) & 1]
+    flip = lambda bits: [sum(1 << (i % 64) for i in bits if i // 64 == h) for h in (0, 1)]
+    at = [[], free[:10], free[5:10] + free[20:28], free[12:20]]
+    far = 2**60 - 1
+    for width in (2, 4):
+        fp = np.array([flip(x) + [0, 0][: width - 2] for x in at], np.uint64)
+        whole = {tuple(x) for x in nd.linked(fp, half, mask, 22)}
+        assert len(whole) == len(fp) - 1
+    # the nearest and the first are reordered texts, the third is the near copy
+    fp = np.array([flip([]) + [0, 0], flip(free[:1]) + [far, far], flip(free[:2]) + [far, 0], flip(free[:3]) + [7, 0]], np.uint64)
+    for order in itertools.permutations(range(4)):
+        got = [{x[:4], x[4:]} for x in map(tuple, nd.linked(fp[list(order)], half, mask, 22).tolist())]
+        assert got == [{tuple(fp[i].astype(np.int64).tolist()) for i in (0, 3)}]
+    # any accepted pair joins its ends
+    rng = np.random.default_rng(4)
+    fp = np.unique(np.array([flip(rng.choice(free, rng.integers(0, 16), replace=False)) + flip(rng.choice(128, rng.integers(0, 30), replace=False)) for _ in range(300)], np.uint64), axis=0)
+    index = {tuple(x): i for i, x in enumerate(fp.view(np.int64).tolist())}
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).astype(int)
+    true = np.argwhere((d[..., :2].sum(2) <= 12) & (d[..., 2:].sum(2) <= 34))
+    parent = list(range(len(fp)))
+    links = [(index[tuple(x[:4])], index[tuple(x[4:])]) for x in nd.linked(fp, half, mask, 12).tolist()]
+    assert {*links} <= {tuple(x) for x in true.tolist()}
+    for i, j in links:
+        assert find(parent, i) != find(parent, j)
+        parent[find(parent, i)] = find(parent, j)
+    assert all(find(parent, i) == find(parent, j) for i, j in true) and len(true) > 2 * len(fp)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)] + [(500, 500)]
