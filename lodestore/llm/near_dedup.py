@@ -9,8 +9,8 @@ Pairs up to REACH bits apart are taken too where they collide, which most do. A
 hashes of their word pairs are within PAIR_RADIUS as well. Near copies are linked into groups, and the document with
 the smallest identifier stays.
 
-Only distinct fingerprints are searched, as packed arrays: texts don't move for it, and thousands of copies are one
-fingerprint. The tables are gone through twice: first with sixteen bytes a fingerprint, to see which have any other
+Only distinct pairs of hashes are searched, as packed arrays: texts don't move for it, and thousands of copies are one.
+The tables are gone through twice: first with sixteen bytes a fingerprint, to see which have any other
 within reach; then with those only and with the hashes of their word pairs, to apply both radii to every pair of a
 bucket. What is left of a bucket is a spanning forest of all its accepted pairs.
 """
@@ -265,15 +265,13 @@ def _verdicts(df: DataFrame, id_col: str, text_col: str, reach: int, pair_radius
     picked = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = picked.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.lower("text").alias("text"))
     rows = common.stash(rows.mapInArrow(_fingerprints, "doc_id long, k1 long, k2 long, fp struct<x: long, y: long>, v1 long, v2 long"), "prints")
-    # of texts with one fingerprint, the first stands for all
-    named = rows.filter("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "v1", "v2")).alias("r"))
-    prints = common.stash(named.select("fp", F.col("r.v1").alias("r1"), F.col("r.v2").alias("r2")), "distinct")
-    near = near_links(prints.select("fp.x", "fp.y", F.col("r1").alias("v1"), F.col("r2").alias("v2")), reach, pair_radius)
-    roots = components(near)
-    told = rows.join(prints, "fp", "left").join(roots.select(F.struct("node.x", "node.y").alias("fp"), "root"), "fp", "left")
-    # a text without words is a group of its own, as is one whose word pairs are far from its fingerprint's first
-    apart = F.bit_count(F.col("v1").bitwiseXOR(F.col("r1"))) + F.bit_count(F.col("v2").bitwiseXOR(F.col("r2")))
-    group = F.when(F.col("fp").isNull(), _group(0, "k1", "k2")).when(apart <= pair_radius, _group(1, F.coalesce("root.x", "fp.x"), F.coalesce("root.y", "fp.y"))).otherwise(_group(2, "fp.x", "fp.y", "v1", "v2"))
+    # texts that agree in both hashes are one; those with one fingerprint and other word pairs are compared like any others
+    node = F.struct("fp.x", "fp.y", "v1", "v2")
+    prints = common.stash(rows.filter("fp is not null").select(node.alias("p")).distinct().select("p.*"), "distinct")
+    roots = components(near_links(prints, reach, pair_radius))
+    told = rows.withColumn("node", F.when(F.col("fp").isNotNull(), node)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a text without words is a group of its own
+    group = F.when(F.col("fp").isNull(), _group(0, "k1", "k2")).otherwise(_group(1, *(F.col("root")[c] for c in ("x", "y", "v1", "v2"))))
     inside = Window.partitionBy("g.kind", "g.x", "g.y", "g.z", "g.w").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")
     told = told.withColumn("g", group).select("doc_id", "k1", "k2", F.first("doc_id").over(inside).alias("keeper_id"), (F.row_number().over(inside) > 1).alias("is_duplicate"), F.col("fp").isNull().alias("bare"))
     return told.withColumn("is_duplicate", F.col("is_duplicate") & ~F.col("bare")).drop("bare")

@@ -148,6 +148,18 @@ def test_planted_copies(spark):
     assert all(got[c] in (s, c) or source.get(got[c]) == s for c, s in source.items())
 
 
+def test_near_copies_behind_a_reordered_text(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    texts = [rng.sample(words, len(words)), words, words[1:] + words[:1], words[150:] + words[:150]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts, 1)]
+    prints = [nd.fingerprint(hashes(t)) for _, t in docs]
+    assert len({p[:2] for p in prints}) == 1 and len({p[2:] for p in prints}) == 4
+    assert all(apart(prints[0][2:], p[2:]) > nd.PAIR_RADIUS >= apart(prints[1][2:], p[2:]) for p in prints[1:])
+    got = {r.doc_id: r.keeper_id for r in nd.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2}
+
+
 def test_odd(spark, odd, none):
     got = nd.near_copies(odd)
     assert got.count() == len(ODD)
