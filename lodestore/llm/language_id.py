@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestore.llm import common
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: At most so many labelled rows, chosen by a hash, are used for training, each by one stretch of TRAIN_BYTES characters.
+#: At most so many distinct labelled texts, as many of each label by lowest hash, are used for training, each by one stretch of TRAIN_BYTES characters.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 512
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: A document whose best language has less probability is rejected, if it has at least MIN_BYTES to judge it by.
@@ -138,20 +139,49 @@ def _no_language(n: int, rng: np.random.Generator) -> list[bytes]:
     return out
 
 
+def _lowest(each: int, cuts: dict[str, int]):
+    """Of each label, the ``each`` lowest distinct rows of a partition that are under its cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list] = {}
+        schema = None
+        for b in batches:
+            schema = b.schema
+            label, h, h2, piece = b.column(0), *(b.column(1).field(i) for i in range(3))
+            top = {k: v[-1][:2] for k, v in kept.items() if len(v) == each}
+            for i, (name, *key) in enumerate(zip(label.to_pylist(), h.to_pylist(), h2.to_pylist(), strict=True)):
+                if key[0] < cuts[name] and (name not in top or tuple(key) < top[name]):
+                    kept.setdefault(name, []).append((*key, piece[i].as_py()))
+            kept = {k: sorted(set(v))[:each] for k, v in kept.items()}
+        for name, v in kept.items():
+            yield pa.record_batch([pa.array([name] * len(v), schema.field(0).type), pa.array([dict(zip(("h", "h2", "piece"), x, strict=True)) for x in v], schema.field(1).type)], schema=schema)
+
+    return run
+
+
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Network | None:
-    """A network fitted on at most about ``rows`` labelled rows of ``df``, chosen by a hash of the text.
+    """A network fitted on at most ``rows`` distinct labelled texts of ``df``, as many of each label by lowest hash.
 
-    Rows without text or label are not used; with no labelled row there is no network. The same rows give the same
-    network, however they are partitioned.
+    Each label has a class, also a rare one, and copies of a text count once; if there are more labels than ``rows``,
+    each has one text. Rows without text or label are not used; with no labelled row there is no network. The same
+    rows give the same network, however they are partitioned.
     """
     named = common.pick(df, text=text_col, label=label_col).filter("text <> '' and label is not null")
-    n = named.count()
-    if not n:
+    h = F.xxhash64("text", "label").bitwiseAND((1 << 30) - 1)
+    start = F.floor(F.pmod(h, F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1))).cast("int") + 1
+    piece = F.substring(F.col("text"), start, F.lit(TRAIN_CHARS))
+    named = named.select(F.col("label").cast("string").alias("label"), F.struct(h.alias("h"), F.xxhash64(F.lit("2"), "text").alias("h2"), piece.alias("piece")).alias("r"))
+    labels = {r.label: r.n for r in named.groupBy("label").agg(F.approx_count_distinct("r.h").alias("n")).collect()}
+    if not labels:
         return None
-    part = F.xxhash64("text", "label").bitwiseAND((1 << 30) - 1)
-    chosen = named.withColumn("h", part).filter(F.col("h") < int(min(1, rows / n) * (1 << 30)))
-    start = F.floor(F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1))).cast("int") + 1
-    sample = sorted((r.label, r.piece) for r in chosen.select(F.col("label").cast("string").alias("label"), F.substring(F.col("text"), start, F.lit(TRAIN_CHARS)).alias("piece")).collect())
+    each = max(1, rows // len(labels))
+    # under its cut a label has about twice the texts that it needs, or all
+    cuts = {label: int(min(1, (2 * each + 50) / n) * (1 << 30)) for label, n in labels.items()}
+    lowest = named.mapInArrow(_lowest(each, cuts), named.schema)
+    found: dict[str, set] = {label: set() for label in labels}
+    for r in lowest.distinct().withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("r"))).filter(F.col("n") <= each).collect():
+        found[r.label].add(r.r.piece)
+    sample = sorted((label, piece) for label, pieces in found.items() for piece in pieces)
     if not sample:
         return None
     rng = np.random.default_rng(3)

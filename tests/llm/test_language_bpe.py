@@ -127,3 +127,14 @@ def test_bpe_odd(odd, none):
     assert by[5].ids is None and by[5].n_tokens is None and by[3].ids == [] and by[3].round_trip
     back = odd.withColumn("ids", bpe.encode(F.col("text"))["ids"]).withColumn("again", bpe.decode(F.col("ids")))
     assert back.filter("not (text <=> again)").count() == 0
+
+
+def test_a_rare_label_is_trained_and_copies_count_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, x, y, *a, **k: seen.append((self.classes, len(x))) or self)
+    docs = [(f"the text number {i} of the frequent label", "en") for i in range(3000)] + [("one copy of many, again and again and again", "en")] * 3000 + [("ein seltener Text von nur einer Zeile", "de")]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    for n in (1, 4):
+        language_id.train(df.repartition(n), rows=100)
+    assert seen[0] == seen[1] and seen[0][0] == ["de", "en", language_id.NONE]
+    assert seen[0][1] < 100 + 100 // 3 + 32 + 10
