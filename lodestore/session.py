@@ -23,9 +23,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a temporary one if the master is local; executors elsewhere would each write to a disk of
+    their own, so on a cluster it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that the executors of {master} share")
         found = tempfile.mkdtemp(prefix="lodestore-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,9 +40,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def filesystem(uri: str):
+    """The pyarrow file system of ``uri`` and the path in it; usable on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def remove(path: str) -> None:
+    """Deletes a folder below the shared one; nothing where it isn't there."""
+    from pyarrow import fs
+
+    system, at = filesystem(path)
+    if system.get_file_info(at).type != fs.FileType.NotFound:
+        system.delete_dir(at)
+
+
+_own: set[str] = set()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder; all of a session's lie in one folder, which goes when Python ends."""
+    own = f"{shared_dir(spark)}/lodestore-{spark.sparkContext.applicationId}"
+    if own not in _own:
+        _own.add(own)
+        atexit.register(remove, own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder, where a lost executor takes nothing with it, and reads it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def drop(stashed: DataFrame) -> None:
+    """Deletes what ``stash`` wrote; no frame that reads it may be used again."""
+    remove(stashed._stash)
