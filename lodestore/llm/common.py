@@ -1,17 +1,17 @@
-"""What the operators of this subpackage share: tables, the shared folder, row keys and Arrow buffers."""
+"""What the operators of this subpackage share: tables, the shared folder, row keys and Arrow buffers.
 
-from __future__ import annotations
+Identifiers are whole numbers of 64 bits in every operator that takes any.
+"""
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore.session import drop, filesystem, scratch, shared_dir, stash  # noqa: F401
+
 #: Bytes of one Arrow batch on its way to a Python worker; long documents then travel few at a time.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -29,37 +29,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where that is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestore-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def filesystem(uri: str):
-    """The pyarrow file system of ``uri`` and the path in it; usable on executors."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """Two 64-bit hashes that stand for (id, text), nulls included; equal rows have equal keys."""
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")

@@ -1,34 +1,46 @@
 """Exact dedup: Patricia-trie owners.
 
-Documents are partitioned by length and content hash, so equal texts meet in one task. There, in the order of their
-identifiers, full byte strings go into a compressed radix trie whose terminal nodes hold the smallest identifier:
-the owner. Nothing is decided by a hash alone. A trie that outgrows its budget spills its largest subtree to the
-shared folder and settles it afterwards, one subtree at a time, by the same method one byte deeper.
+Texts are partitioned by length and content hash, so equal ones meet in one task; before they move, each task keeps one
+of the copies that it has itself, so that thousands of copies are as many texts as there are tasks. There, full byte
+strings go into a compressed radix trie whose terminal nodes hold the smallest identifier: the owner. A trie that
+outgrows its budget spills whole subtrees, below the radix node at which their keys part, to the shared folder; later
+keys of such a subtree are appended there. A spilled subtree is settled afterwards by a trie of its own, which begins
+where its keys parted, so no shared head is read or written again. Its file goes as soon as it is read.
+
+Rows are then told their owner by the text's length and 128 bits of hash. The tries see every byte, so two texts that
+share these would be noticed, and fail the query.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import common
 
 #: Bytes of distinct text that a task's trie holds before it spills.
 SPILL_BYTES = 128 << 20
-_NODE_BYTES = 300
-_NULL = -(1 << 63)
+#: Bytes of distinct text that a task holds back to find copies before texts move.
+COMBINE_BYTES = 32 << 20
+_NODE_BYTES = 400
+_HEAD = struct.Struct("<qBqqq")
+
+#: (whether the identifier is null, the identifier, two hashes of the text): what a terminal node holds, least first.
+Value = tuple[int, int, int, int]
 
 
 class _Node:
-    __slots__ = ("label", "children", "owner")
+    __slots__ = ("label", "children", "owner", "run")
 
-    def __init__(self, label: bytes, owner: int | None = None):
-        self.label, self.children, self.owner = label, {}, owner
+    def __init__(self, label: bytes, owner: Value | None = None):
+        self.label, self.children, self.owner, self.run = label, {}, owner, None
 
 
 def _shared(a: bytes, b: bytes, at: int) -> int:
@@ -44,162 +56,228 @@ def _shared(a: bytes, b: bytes, at: int) -> int:
 
 
 class Trie:
-    """Compressed radix trie over ``key[depth:]``; its subtrees can be written out and settled later."""
-
-    def __init__(self, folder: str, budget: int = SPILL_BYTES, depth: int = 0):
-        self.folder, self.budget, self.depth = folder, budget, depth
-        self.root, self.sizes, self.held, self.spilled = _Node(b""), {}, 0, {}
-
-    def insert(self, key: bytes, number: int) -> int | None:
-        """The owner of ``key`` so far, itself included; None where its subtree has been spilled."""
-        at, size = self.depth, len(key)
-        top = key[at] if at < size else None
-        if top in self.spilled:
-            self.spilled[top].append(key, number)
-            return None
-        node, new = self.root, 0
+    """Compressed radix trie; subtrees without room are written out and settled one after the other."""
+
+    def __init__(self, folder: str, budget: int = SPILL_BYTES):
+        self.folder, self.budget = folder, budget
+        self.root, self.held, self.limit, self.runs = _Node(b""), 0, budget, []
+
+    def insert(self, key: bytes, value: Value) -> None:
+        """Gives ``key`` the lower of ``value`` and what it has."""
+        at, size, node, grown = 0, len(key), self.root, 0
         while at < size:
             child = node.children.get(key[at])
             if child is None:
-                node.children[key[at]] = _Node(key[at:], number)
-                self._grow(top, size - at + _NODE_BYTES)
-                return number
+                child = node.children[key[at]] = _Node(key[at:])
+                grown += size - at + _NODE_BYTES
             if key.startswith(child.label, at):
                 at += len(child.label)
                 node = child
+                if node.run is not None:
+                    return node.run.append(key[at:], value)
                 continue
             n = _shared(child.label, key, at)
             fork = _Node(child.label[:n])
             child.label = child.label[n:]
             fork.children[child.label[0]] = child
             node.children[key[at]] = fork
-            new = _NODE_BYTES
             at += n
             node = fork
-        if node.owner is None or number < node.owner:
-            node.owner = number
-        if new:
-            self._grow(top, new)
-        return node.owner
-
-    def _grow(self, top: int, n: int) -> None:
-        self.sizes[top] = self.sizes.get(top, 0) + n
+            grown += _NODE_BYTES
+        if node.owner is None or value < node.owner:
+            node.owner = value
+        # only now, since what is spilled must not be where this key goes on
+        self._grow(grown)
+
+    def _grow(self, n: int) -> None:
         self.held += n
-        while self.held > self.budget and self.sizes:
-            worst = max(self.sizes, key=self.sizes.get)
-            self._spill(worst)
-
-    def _spill(self, top: int) -> None:
-        out = self.spilled[top] = _Run(f"{self.folder}-{uuid.uuid4().hex}", self.depth)
-        # the frozen part goes first, with the owners that it has; the path's head is not kept in the trie
-        stack = [(self.root.children.pop(top), b"")]
+        if n and self.held > self.limit:
+            self._spill()
+
+    def _spill(self) -> None:
+        """Writes out the largest subtrees that have nothing spilled below them until half of the budget is free."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += node.children.values()
+        size, bare = {}, {}
+        for node in reversed(order):
+            size[id(node)] = len(node.label) + _NODE_BYTES + sum(size[id(c)] for c in node.children.values())
+            bare[id(node)] = node.run is None and all(bare[id(c)] for c in node.children.values())
+        goal, n = self.held - self.budget // 2, 0
+        heap = [(-size[id(self.root)], n, self.root)]
+        while heap and goal > 0:
+            s, _, node = heapq.heappop(heap)
+            if node is not self.root and bare[id(node)] and -s <= max(goal, self.budget // 8):
+                free = -s - self._write(node)
+                goal -= free
+                self.held -= free
+            else:
+                for c in node.children.values():
+                    heapq.heappush(heap, (-size[id(c)], n := n + 1, c))
+        # where single keys are over the budget, the next look waits until as much has come again
+        self.limit = max(self.budget, self.held + self.budget // 2)
+
+    def _write(self, top: _Node) -> int:
+        """Writes out a subtree and leaves a stub of it; the bytes that are free then."""
+        before = len(top.label)
+        # a head that many keys share stays here, unless it is long or there is but one key
+        cut = top.label[1:] if not top.children or before > _NODE_BYTES else b""
+        run = _Run(f"{self.folder}-{uuid.uuid4().hex}", max(4096, self.budget // 256))
+        for tail, value in _terminals(top, cut):
+            run.append(tail, value)
+        top.label = top.label[: before - len(cut)]
+        top.children, top.owner, top.run = {}, None, run
+        self.runs.append(run)
+        return len(top.label) + _NODE_BYTES
+
+    def settle(self) -> Iterator[Value]:
+        """What every distinct key holds in the end. The trie is used up."""
+        waiting = [self]
+        while waiting:
+            trie = waiting.pop()
+            yield from trie._values()
+            while trie.runs:
+                run = trie.runs.pop()
+                inner = Trie(self.folder, self.budget)
+                for key, value in run.read():
+                    inner.insert(key, value)
+                waiting.append(trie)
+                trie = inner
+                yield from trie._values()
+
+    def _values(self) -> Iterator[Value]:
+        stack = [self.root]
+        self.root = _Node(b"")
         while stack:
-            node, before = stack.pop()
-            path = before + node.label
+            node = stack.pop()
             if node.owner is not None:
-                out.append(path, node.owner, settled=True)
-            stack += [(c, path) for c in node.children.values()]
-        self.held -= self.sizes.pop(top)
+                yield node.owner
+            stack += node.children.values()
 
-    def settle(self) -> Iterator[tuple[int, int]]:
-        """(number, owner) of every key whose insert gave None; subtrees one after the other."""
-        self.root = _Node(b"")
-        while self.spilled:
-            _, run = self.spilled.popitem()
-            inner = Trie(self.folder, self.budget, self.depth + 1)
-            for key, number, settled in run.read():
-                # frozen keys were stored without their first `depth` bytes, which are never looked at again
-                owner = inner.insert(b"\0" * self.depth + key, number)
-                if not settled and owner is not None:
-                    yield number, owner
-                elif settled and owner is None:
-                    inner.frozen.add(number)
-            for number, owner in inner.settle():
-                if number not in inner.frozen:
-                    yield number, owner
-                inner.frozen.discard(number)
-            run.drop()
-
-    @property
-    def frozen(self) -> set[int]:
-        if not hasattr(self, "_frozen"):
-            self._frozen: set[int] = set()
-        return self._frozen
+
+def _terminals(top: _Node, head: bytes) -> Iterator[tuple[bytes, Value]]:
+    """The ends of the keys in a subtree, each with ``head`` for the label of ``top``."""
+    if top.owner is not None:
+        yield head, top.owner
+    stack = [(c, head) for c in top.children.values()]
+    while stack:
+        node, before = stack.pop()
+        path = before + node.label
+        if node.owner is not None:
+            yield path, node.owner
+        stack += [(c, path) for c in node.children.values()]
 
 
 class _Run:
-    """Keys of a spilled subtree in the shared folder, in the order in which they came."""
+    """The ends of the keys of a spilled subtree: part files in the shared folder, none of them held open."""
 
-    def __init__(self, uri: str, depth: int):
+    def __init__(self, uri: str, part: int):
         self.fs, self.path = common.filesystem(uri)
-        self.out, self.depth = self.fs.open_output_stream(self.path), depth
-
-    def append(self, key: bytes, number: int, settled: bool = False) -> None:
-        tail = key if settled else key[self.depth :]
-        self.out.write(struct.pack("<qqB", len(tail), number, settled) + tail)
+        self.part, self.parts, self.held = part, 0, bytearray()
+
+    def append(self, tail: bytes, value: Value) -> None:
+        self.held += _HEAD.pack(len(tail), *value)
+        self.held += tail
+        if len(self.held) >= self.part:
+            with self.fs.open_output_stream(f"{self.path}-{self.parts}") as f:
+                f.write(self.held)
+            self.parts, self.held = self.parts + 1, bytearray()
+
+    def read(self) -> Iterator[tuple[bytes, Value]]:
+        """Every key once; a part's file goes as soon as it is read."""
+        last, self.held = bytes(self.held), bytearray()
+        for i in range(self.parts + 1):
+            data = last
+            if i < self.parts:
+                with self.fs.open_input_stream(f"{self.path}-{i}") as f:
+                    data = f.read()
+                self.fs.delete_file(f"{self.path}-{i}")
+            at = 0
+            while at < len(data):
+                n, *value = _HEAD.unpack_from(data, at)
+                at += _HEAD.size + n
+                yield data[at - n : at], tuple(value)
+
+
+def _keys(b: pa.RecordBatch) -> Iterator[tuple[bytes, Value]]:
+    for key, i, h1, h2 in zip(b.column(0).cast(pa.binary()).to_pylist(), *(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+        yield key, (i is None, i or 0, h1, h2)
+
+
+def _combine(budget: int):
+    """One row for the copies of a text that a task has, as long as it can remember the text."""
+
+    def batch(held: dict[bytes, Value]) -> pa.RecordBatch:
+        v = list(held.values())
+        cols = [pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array([None if x[0] else x[1] for x in v], pa.int64()), *(pa.array([x[k] for x in v], pa.int64()) for k in (2, 3))]
+        return pa.record_batch(cols, names=["text", "doc_id", "h1", "h2"])
 
-    def read(self) -> Iterator[tuple[bytes, int, bool]]:
-        self.out.close()
-        with self.fs.open_input_stream(self.path) as f:
-            while head := f.read(17):
-                n, number, settled = struct.unpack("<qqB", head)
-                yield f.read(n), number, bool(settled)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, Value] = {}
+        size = 0
+        for b in batches:
+            for key, value in _keys(b):
+                old = held.get(key)
+                if old is None:
+                    size += len(key) + _NODE_BYTES
+                if old is None or value < old:
+                    held[key] = value
+                if size > budget:
+                    yield batch(held)
+                    held, size = {}, 0
+        if held:
+            yield batch(held)
 
-    def drop(self) -> None:
-        self.fs.delete_file(self.path)
+    return run
 
 
 def _owners(folder: str, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Numbers stand for rows: the place in this task, in the order of the identifiers, nulls last.
-        trie, ids, waiting = Trie(folder, budget), [], []
-        schema = pa.schema([("doc_id", pa.int64()), ("owner_id", pa.int64()), ("is_duplicate", pa.bool_())])
-        n = 0
+        trie = Trie(folder, budget)
         for b in batches:
-            doc, text = b.column(0).to_pylist(), b.column(1)
-            own, who, dup = [], [], []
-            for i, key in zip(doc, text.cast(pa.binary()).to_pylist(), strict=True):
-                if key is None:
-                    own.append(None), who.append(i), dup.append(False)
-                    continue
-                owner = trie.insert(key, n)
-                ids.append(_NULL if i is None else i)
-                if owner is not None:
-                    own.append(ids[owner]), who.append(i), dup.append(owner != n)
-                n += 1
-            yield pa.record_batch([pa.array(who, pa.int64()), pa.array([None if o == _NULL else o for o in own], pa.int64()), pa.array(dup, pa.bool_())], schema=schema)
-        for number, owner in trie.settle():
-            waiting.append((number, owner))
-            if len(waiting) == 50_000:
-                yield _rows(waiting, ids, schema)
-                waiting = []
-        if waiting:
-            yield _rows(waiting, ids, schema)
+            for key, value in _keys(b):
+                trie.insert(key, value)
+        found = trie.settle()
+        while v := list(islice(found, 50_000)):
+            yield pa.record_batch([*(pa.array([x[k] for x in v], pa.int64()) for k in (2, 3)), pa.array([None if x[0] else x[1] for x in v], pa.int64())], names=["h1", "h2", "owner_id"])
 
     return run
 
 
-def _rows(pairs: list[tuple[int, int]], ids: list[int], schema: pa.Schema) -> pa.RecordBatch:
-    null = lambda x: None if x == _NULL else x
-    return pa.record_batch([pa.array([null(ids[n]) for n, _ in pairs], pa.int64()), pa.array([null(ids[o]) for _, o in pairs], pa.int64()), pa.array([n != o for n, o in pairs], pa.bool_())], schema=schema)
+def _hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("2"), F.octet_length(text), text)
 
 
-def exact_owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spill_bytes: int = SPILL_BYTES) -> DataFrame:
+def exact_owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spill_bytes: int = SPILL_BYTES, combine_bytes: int = COMBINE_BYTES) -> DataFrame:
     """doc_id, owner_id and is_duplicate, a row for every row of ``df``.
 
     The owner is the smallest identifier among the documents with the same bytes. Exactly one row of each group is no
-    duplicate. Nulls: a document without text has no owner and is nobody's copy; null identifiers order last, so they
-    own a group only where it has no other. The empty text is a text like any other. Repeated rows are copies of
-    each other. Other columns of ``df`` are ignored. No rows give no rows.
+    duplicate. Identifiers are whole numbers of 64 bits. Nulls: a document without text has no owner and is nobody's
+    copy; null identifiers order last, so they own a group only where it has no other. The empty text is a text like
+    any other, and texts may share heads of any length. Repeated rows are copies of each other. Other columns of
+    ``df`` are ignored. No rows give no rows.
     """
     spark = df.sparkSession
     common.bound_batches(spark)
     folder = common.scratch(spark, "trie")
-    rows = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    # Text-free rows are spread by identifier, else they would all meet in one task.
-    where = [F.coalesce(F.octet_length("text"), F.lit(-1)), F.coalesce(F.xxhash64("text"), F.lit(0)), F.when(F.col("text").isNull(), F.col("doc_id"))]
-    met = rows.repartition(*where).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
-    return met.mapInArrow(_owners(folder, spill_bytes), "doc_id long, owner_id long, is_duplicate boolean")
+    fs, at = common.filesystem(folder.rpartition("/")[0])
+    fs.create_dir(at, recursive=True)
+    picked = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    h1, h2 = _hashes(F.col("text"))
+    bare = F.col("text").isNull()
+    # narrow rows, with a number that tells repeated ones apart; written, since it may not come out the same again
+    rows = common.stash(picked.select("doc_id", F.when(~bare, h1).alias("h1"), F.when(~bare, h2).alias("h2"), F.monotonically_increasing_id().alias("token")), "rows")
+    texts = picked.filter(~bare).select("text", "doc_id", h1.alias("h1"), h2.alias("h2")).mapInArrow(_combine(combine_bytes), "text string, doc_id long, h1 long, h2 long")
+    met = texts.repartition(F.octet_length("text"), "h1")
+    owners = met.mapInArrow(_owners(folder, spill_bytes), "h1 long, h2 long, owner_id long").groupBy("h1", "h2").agg(F.first("owner_id").alias("owner_id"), F.count(F.lit(1)).alias("n"))
+    clash = F.when(F.col("n") > 1, F.raise_error(F.lit("two texts share 128 bits of hash")).cast("long")).otherwise(F.col("owner_id"))
+    # of repeated rows of the owner, one is no duplicate
+    first = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("token").alias("t"))).alias("f"))
+    told = rows.join(owners.withColumn("owner_id", clash).join(first, ["h1", "h2"]).select("h1", "h2", "owner_id", F.col("f.t").alias("first")), ["h1", "h2"])
+    none = rows.filter("h1 is null").select("doc_id", F.lit(None).cast("long").alias("owner_id"), F.lit(False).alias("is_duplicate"))
+    return told.select("doc_id", "owner_id", (F.col("token") != F.col("first")).alias("is_duplicate")).unionByName(none)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,31 +30,60 @@ def test_exact_odd(odd):
     assert rows(exact_dedup.exact_owners(odd)) == duck(exact_dedup.SQL, documents=ODD_TABLE)
 
 
-def test_exact_spills(spark, odd):
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(3000)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    got = exact_dedup.exact_owners(df, spill_bytes=2000)
-    assert rows(got) == rows(exact_dedup.exact_owners(df))
+def owners_by_hand(texts):
     first = {}
     for i, t in enumerate(texts):
         first.setdefault(t, i)
-    assert {r.doc_id: r.owner_id for r in got.collect()} == {i: first[t] for i, t in enumerate(texts)}
+    return {i: first[t] for i, t in enumerate(texts)}
 
 
-def test_trie_spills_by_subtree(tmp_path):
-    rng = random.Random(2)
-    keys = [bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 12))) for _ in range(4000)]
-    trie, owner, want = exact_dedup.Trie(str(tmp_path / "run"), 4000), {}, {}
+def test_exact_spills(spark, odd):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(3000)] + ["h" * 1500 + rng.choice("abc") + str(i % 300) for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for spill, combine in ((2000, 1), (20_000, 5000)):
+        got = exact_dedup.exact_owners(df, spill_bytes=spill, combine_bytes=combine)
+        assert {r.doc_id: r.owner_id for r in got.collect()} == owners_by_hand(texts)
+        assert got.filter("not is_duplicate").count() == len(set(texts))
+
+
+def spilled(tmp_path, keys, budget):
+    """What a trie holds of ``keys`` in the end, and the most bytes that it had on disk."""
+    trie, most = exact_dedup.Trie(str(tmp_path / "run"), budget), 0
+    used = lambda: sum(p.stat().st_size for p in tmp_path.iterdir())
     for i, k in enumerate(keys):
-        want.setdefault(k, i)
-        if (o := trie.insert(k, i)) is not None:
-            owner[i] = o
-    for i, o in trie.settle():
-        assert i not in owner
-        owner[i] = o
-    assert owner == {i: want[k] for i, k in enumerate(keys)}
+        trie.insert(k, (False, i, 0, 0))
+    most = used()
+    out = []
+    for n, v in enumerate(trie.settle()):
+        out.append(v[1])
+        if n % 50 == 0:
+            most = max(most, used())
     assert list(tmp_path.iterdir()) == []
+    return sorted(out), most
+
+
+@pytest.mark.parametrize("kind", ["short", "heads", "comb", "equal"])
+def test_trie_spills_by_subtree(tmp_path, kind):
+    rng = random.Random(2)
+    heads = [bytes(rng.choice(b"xy") for _ in range(10_000)) for _ in range(3)]
+    keys = {
+        "short": lambda: [bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 12))) for _ in range(4000)],
+        "heads": lambda: [rng.choice(heads)[: rng.choice([1200, 10_000])] + bytes([rng.randrange(256)]) * rng.randint(0, 900) for _ in range(600)],
+        "comb": lambda: [b"x" * rng.randrange(3000) for _ in range(2000)],
+        "equal": lambda: [b"x" * 5000] * 500,
+    }[kind]()
+    want = sorted(set(owners_by_hand(keys).values()))
+    for budget in (4000, 100_000):
+        out, most = spilled(tmp_path, keys, budget)
+        assert out == want
+        assert most <= 2 * sum(len(k) + 40 for k in keys)
+
+
+def test_exact_ids_at_the_edge(spark):
+    low = -(1 << 63)
+    got = exact_dedup.exact_owners(spark.createDataFrame([(low, "a"), (1, "a"), (None, "a"), ((1 << 63) - 1, "b"), (None, "b"), (None, "c")], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(low, low, False), (1, low, True), (None, low, True), ((1 << 63) - 1, (1 << 63) - 1, False), (None, (1 << 63) - 1, True), (None, None, False)], key=repr)
 
 
 def test_lines_odd(odd):
