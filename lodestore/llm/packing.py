@@ -30,14 +30,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_leng
 
     Tokens are the runs between blanks. Pieces of a document, put together by ``start``, are the document's tokens.
     ``batch`` and ``slot`` number a shard's sequences of one length by (doc_id, start). The number of a bucket's
-    shards follows the bucket's tokens, which a first pass counts over all documents. Nulls and texts without tokens
-    give no piece; a null identifier goes to shard 0. Repeated rows are packed as often as they come; other columns
-    are ignored.
+    shards follows the bucket's tokens, which a first pass counts over all documents; a hash of identifier, start and
+    tokens says which one a piece is in, so that neither null nor equal identifiers meet in one shard. Identifiers are
+    whole numbers of 64 bits. Nulls and texts without tokens give no piece. Repeated rows are packed as often as they
+    come, in one shard; other columns are ignored. No rows give no rows.
     """
     if max_length & (max_length - 1) or max_length < 1:
         raise ValueError("max_length must be a power of two")
     top = max_length.bit_length() - 1
-    rows = common.pick(df, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull())
+    rows = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter(F.col("text").isNotNull())
     n = F.col("n")
     sums = [F.sum(n.bitwiseAND(F.lit(1 << b)).cast("long")).alias(str(1 << b)) for b in range(top)]
     # a row of log2(max_length) + 1 sums
@@ -48,9 +49,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_leng
     pieces = rows.select("doc_id", _tokens().alias("t")).withColumn("n", F.size("t")).select("doc_id", "t", F.inline(F.concat(whole, F.array_compact(rest))))
     pieces = pieces.select(
         "doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"),
-        F.coalesce(F.pmod(F.col("doc_id") + F.col("start"), F.element_at(shards, F.col("length"))), F.lit(0)).cast("long").alias("shard"),
-        F.array_join(F.slice("t", F.col("start") + 1, F.col("length")), " ").alias("tokens"),
+        F.element_at(shards, F.col("length")).alias("k"), F.array_join(F.slice("t", F.col("start") + 1, F.col("length")), " ").alias("tokens"),
     )
+    key = F.md5(F.encode(F.concat_ws("/", "doc_id", "start", "tokens"), "utf-8"))
+    pieces = pieces.withColumn("shard", F.pmod(F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), "k")).drop("k")
     place = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "start", "tokens")) - 1
     each = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("length")))
     return pieces.withColumn("place", place).select("doc_id", "start", "length", "shard", F.floor(F.col("place") / each).cast("long").alias("batch"), F.pmod(F.col("place"), each).cast("long").alias("slot"), "tokens")
@@ -73,9 +75,9 @@ pieces AS (
   FROM cnt, (SELECT unnest(range({MAX_LENGTH.bit_length() - 1})) AS b) WHERE (n >> b) & 1 = 1),
 shards AS (SELECT length, greatest(1, CAST(ceil(sum(length) / {SHARD_TOKENS}) AS BIGINT)) AS k FROM pieces GROUP BY length),
 cut AS (
-  SELECT doc_id, start, length, coalesce((doc_id + start) % k, 0) AS shard,
-         array_to_string(list_slice(t, start + 1, start + length), ' ') AS tokens
-  FROM pieces JOIN shards USING (length)),
+  SELECT doc_id, start, length, tokens, CAST('0x' || substr(md5(concat_ws('/', doc_id, start, tokens)), 1, 15) AS BIGINT) % k AS shard
+  FROM (SELECT doc_id, start, length, array_to_string(list_slice(t, start + 1, start + length), ' ') AS tokens FROM pieces)
+  JOIN shards USING (length)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY length, shard ORDER BY doc_id NULLS FIRST, start, tokens) - 1 AS place FROM cut)
 SELECT doc_id, CAST(start AS BIGINT) AS start, length, CAST(shard AS BIGINT) AS shard,
        CAST(place // greatest(1, {BATCH_TOKENS} // length) AS BIGINT) AS batch, CAST(place % greatest(1, {BATCH_TOKENS} // length) AS BIGINT) AS slot, tokens
