@@ -35,8 +35,17 @@ def _drops(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def _left(text: Column, drops: Column) -> Column:
-    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(drops, i))
-    return F.when(drops.isNull(), text).otherwise(F.array_join(left, "\n"))
+    """``text`` without the lines at ``drops``, put together from the stretches between them: linear in its lines."""
+
+    def stretches(lines: Column) -> Column:
+        at = F.array_sort(drops)
+        start = F.concat(F.array(F.lit(0)), F.transform(at, lambda d: d + 1))
+        end = F.concat(at, F.array(F.size(lines)))
+        return F.flatten(F.zip_with(start, end, lambda s, e: F.slice(lines, s + 1, e - s)))
+
+    # as the variable of a lambda the lines are split once, not once for each stretch
+    left = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(stretches(lines), "\n"))[0]
+    return F.when(drops.isNull(), text).otherwise(left)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -170,3 +171,25 @@ def test_hot_groups_over_several_leaves(spark):
     assert max(out) < 1.02, out
     again = [sharding.shard(df.repartition(n), F.col("text"), shards=4, leaf_groups=41) for n in (1, 5)]
     assert rows(again[0]) == rows(again[1])
+
+
+def test_lines_take_time_by_their_number(spark):
+    def took(n):
+        text = "\n".join(f"line {i}" for i in range(n))
+        df = spark.createDataFrame([(i, text + f"\nown {i}") for i in range(3)], "doc_id long, text string").coalesce(1)
+        began = time.time()
+        got = sorted(line_dedup.dedup_lines(df, threshold=2).collect())
+        assert [(r.lines_dropped, r.text) for r in got] == [(0, text + "\nown 0"), (n, "own 1"), (n, "own 2")]
+        return time.time() - began
+
+    took(100)
+    small, large = took(20_000), took(200_000)
+    assert large < 20 * small + 10, (small, large)
+
+
+def test_packing_ids_at_the_edge(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    df = spark.createDataFrame([(i, "a b c d e") for i in (top, low, None)] * 2 + [(None, f"x{i} y z") for i in range(200)], "doc_id long, text string")
+    got = packing.pack(df, max_length=2, batch_tokens=4, shard_tokens=16).collect()
+    assert sum(r.length for r in got) == 6 * 5 + 200 * 3 and {top, low, None} == {r.doc_id for r in got}
+    assert len({r.shard for r in got if r.doc_id is None and r.length == 2}) > 10
