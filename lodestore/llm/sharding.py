@@ -1,12 +1,12 @@
 """Sharding: Karmarkar-Karp differencing of indivisible groups into k shards of nearly equal bytes.
 
 A partial partition is a k-tuple of sums. The two with the largest spread are combined oppositely ordered, largest
-with smallest, until one is left. Groups are spread over leaves by a hash of their key; each leaf is differenced in
-an executor and leaves one k-tuple, and those are differenced in the same way, so neither a task nor the driver ever
-holds all groups. A group that is large beside a shard's part of a leaf can't be evened out inside its leaf. Such hot
-groups, fewer than HOT * k a leaf, stay out of the leaves and are differenced first; each leaf is then differenced
-together with its part of their k sums, so that it fills the shards around them. Only hot groups and the k-tuples (k
-numbers a leaf) reach the driver.
+with smallest, until one is left. No task could difference all groups of a large corpus, so they form a tree of nodes
+by a hash of their key, FAN below each, and a group is in the deepest node of its path that is large beside it: it has
+at most 1 / (HOT * k) of the bytes below that node. Large groups then stay at the top, where they are few, and the
+leaves have the small ones, about LEAF_GROUPS each. Level by level from the top, each node is differenced in an executor
+together with its part of the k sums that the nodes above it left, so that it fills the shards around them. Nothing
+reaches the driver but two numbers, and a level moves k numbers a node.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +24,10 @@ from lodestore.llm import common
 SHARDS = 16
 #: Groups that one task differences.
 LEAF_GROUPS = 20_000
-#: A group is hot if it has more than this part of a shard's mean bytes in a leaf.
+#: A group is differenced in a node in which it has at most this part of a shard's mean bytes.
 HOT = 16
+#: Nodes below each node.
+FAN = 64
 
 
 def differencing(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,60 +67,78 @@ def differencing(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return final, slots
 
 
-def _leaf(hot: np.ndarray, rest: int):
-    """Differences a leaf together with its part of the sums ``hot``; ``rest`` are the bytes of all leaves.
+_LEVEL = "g1 long, g2 long, shard long, node long, sums array<long>"
 
-    Slots are those of ``hot``, so that slot i of every leaf is filled around sum i.
+
+def _node(k: int):
+    """Differences a node's groups together with its part of the sums above it.
+
+    Beside the shards of its groups it returns a row with the sums that it leaves. What can't be evened out in it would
+    go to the same shard in every node where the sums above are equal, so each node turns the shards by its number.
     """
-    k = len(hot)
 
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["bytes", "g1", "g2"], ascending=[False, True, True], kind="stable")
+    def run(groups: pa.Table, above: pa.Table) -> pa.Table:
+        node = above.column("node")[0].as_py()
+        groups = groups.sort_by([("bytes", "descending"), ("g1", "ascending"), ("g2", "ascending")])
+        turned = (np.arange(k) + node) % k
         sizes = np.zeros((len(groups) + 1, k), np.int64)
-        sizes[:-1, 0] = groups["bytes"]
-        sizes[-1] = np.rint(hot * (groups["bytes"].sum() / max(1, rest)))
-        _, slots = differencing(sizes)
-        slot = np.argsort(slots[-1])[slots[:-1, 0]]
-        load = np.zeros(k, np.int64)
-        np.add.at(load, slot, sizes[:-1, 0])
-        return pd.DataFrame({"leaf": groups["leaf"], "g1": groups["g1"], "g2": groups["g2"], "slot": slot, "load": load[slot]})
+        sizes[:-1, 0] = groups.column("bytes").to_numpy()
+        sizes[-1] = np.array(above.column("sums")[0].as_py(), np.int64)[turned]
+        final, slots = differencing(sizes)
+        shard = np.empty(k, np.int64)
+        shard[slots[-1]] = turned
+        left = np.empty(k, np.int64)
+        left[shard] = final
+        none = pa.nulls(1, pa.int64())
+        own = [pa.concat_arrays([none, *groups.column(c).chunks]) for c in ("g1", "g2")]
+        own.append(pa.concat_arrays([none, pa.array(shard[slots[:-1, 0]], pa.int64())]))
+        own.append(pa.array([node] * (len(groups) + 1), pa.int64()))
+        own.append(pa.array([left.tolist()] + [None] * len(groups), pa.list_(pa.int64())))
+        return pa.table(own, names=["g1", "g2", "shard", "node", "sums"])
 
     return run
 
 
-def shard(df: DataFrame, group: Column, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, leaf_groups: int = LEAF_GROUPS) -> DataFrame:
+def shard(df: DataFrame, group: Column, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, leaf_groups: int = LEAF_GROUPS, fan: int = FAN) -> DataFrame:
     """doc_id, group_key, bytes and shard, a row for every row of ``df``; rows of one ``group`` share a shard.
 
     A row weighs its UTF-8 bytes, a null text 0. Rows with a null group form one group. Equal inputs give equal
-    shards, whatever the cluster: leaves, orders and ties depend on keys and bytes alone. No rows give no rows; with
-    fewer groups than shards, some shards stay empty. Other columns are ignored.
+    shards, whatever the cluster: nodes, orders and ties depend on keys and bytes alone. Up to ``leaf_groups`` groups
+    are one node, which is plain differencing. No rows give no rows; with fewer groups than shards, some shards stay
+    empty. Identifiers are passed on as they are. Other columns are ignored.
     """
-    spark = df.sparkSession
     rows = df.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(group, group.isNull()).alias("g1"), F.xxhash64(group.isNull(), F.lit("g2"), group).alias("g2"),
         F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("bytes"),
     )
     rows = common.stash(rows, "rows")
     groups = common.stash(rows.groupBy("g1", "g2").agg(F.sum("bytes").alias("bytes")), "groups")
+    # two numbers
     n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    leaves = max(1, -(-n // leaf_groups))
-    # a single leaf is whole differencing, nothing is hot there
-    hot = F.col("bytes") > (total // (shards * leaves * HOT) if leaves > 1 else total)
-    own = groups.filter(hot).toPandas().sort_values(["bytes", "g1", "g2"], ascending=[False, True, True], kind="stable")
-    sizes = np.zeros((len(own) + 1, shards), np.int64)
-    sizes[:-1, 0] = own["bytes"]
-    around, of_hot = differencing(sizes)
-    leafed = groups.filter(~hot).withColumn("leaf", F.pmod("g1", F.lit(leaves)).cast("int"))
-    slots = common.stash(leafed.groupBy("leaf").applyInPandas(_leaf(around, total - int(own["bytes"].sum())), "leaf int, g1 long, g2 long, slot int, load long"), "slots")
-    if len(own):
-        placed = slots.select("g1", "g2", F.col("slot").cast("long").alias("shard")).union(spark.createDataFrame(pd.DataFrame({"g1": own["g1"], "g2": own["g2"], "shard": of_hot[:-1, 0]}), "g1 long, g2 long, shard long"))
-    else:
-        sums = slots.groupBy("leaf", "slot").agg(F.first("load").alias("load")).toPandas() if leaves > 1 else pd.DataFrame({"leaf": [], "slot": [], "load": []})
-        loads = np.zeros((leaves, shards), np.int64)
-        loads[sums["leaf"].astype(int), sums["slot"].astype(int)] = sums["load"]
-        _, final = differencing(loads)
-        merged = spark.createDataFrame(pd.DataFrame({"leaf": np.repeat(np.arange(leaves, dtype=np.int32), shards), "slot": np.tile(np.arange(shards, dtype=np.int32), leaves), "shard": final.ravel()}), "leaf int, slot int, shard long")
-        placed = slots.join(merged, ["leaf", "slot"]).select("g1", "g2", "shard")
+    depth = 0
+    while leaf_groups * fan**depth < n:
+        depth += 1
+    level = F.lit(depth)
+    for d in reversed(range(depth)):
+        level = F.when(F.col("bytes") > total // (shards * HOT * fan ** (d + 1)), d).otherwise(level)
+    at = lambda d: F.pmod("g1", F.lit(fan**d))
+    groups = groups.withColumn("level", level)
+    placed, left = None, None
+    for d in range(depth + 1):
+        # the bytes at and below each node of this level
+        nodes = groups.filter(F.col("level") >= d).groupBy(at(d).alias("node")).agg(F.sum("bytes").alias("below"))
+        if left is None:
+            above = nodes.select("node", F.array_repeat(F.lit(0).cast("long"), shards).alias("sums"))
+        else:
+            up = nodes.withColumn("up", F.pmod("node", F.lit(fan ** (d - 1))))
+            whole = up.groupBy("up").agg(F.sum("below").alias("whole"))
+            share = F.transform("sums", lambda x: F.rint(x * (F.col("below") / F.greatest(F.col("whole"), F.lit(1)))).cast("long"))
+            above = up.join(whole, "up").join(left.select(F.col("node").alias("up"), "sums"), "up").select("node", share.alias("sums"))
+        own = groups.filter(F.col("level") == d).select(at(d).alias("node"), "g1", "g2", "bytes")
+        done = common.stash(own.groupBy("node").cogroup(above.groupBy("node")).applyInArrow(_node(shards), _LEVEL), "level")
+        left = done.filter("sums is not null").select("node", "sums")
+        found = done.filter("sums is null").select("g1", "g2", "shard")
+        placed = found if placed is None else placed.unionByName(found)
     return rows.join(placed, ["g1", "g2"]).select("doc_id", F.col("g1").alias("group_key"), "bytes", "shard")
 
 

@@ -162,17 +162,56 @@ def test_hot_groups_over_several_leaves(spark):
     texts = [t for t, n in small + hot for _ in range(n)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = []
-    for leaf in (41, 10**6):
-        got = sharding.shard(df, F.col("text"), shards=4, leaf_groups=leaf).join(df, "doc_id").toPandas()
+    for leaf, fan in ((41, 64), (10, 4), (10**6, 64)):
+        got = sharding.shard(df, F.col("text"), shards=4, leaf_groups=leaf, fan=fan).join(df, "doc_id").toPandas()
         assert len(got) == len(texts) and (got.groupby("text")["shard"].nunique() == 1).all()
         load = got.groupby("shard")["bytes"].sum()
         out.append(load.max() / load.mean())
-    # six leaves do as well as whole differencing
+    # a tree does as well as whole differencing
     assert max(out) < 1.02, out
-    again = [sharding.shard(df.repartition(n), F.col("text"), shards=4, leaf_groups=41) for n in (1, 5)]
+    again = [sharding.shard(df.repartition(n), F.col("text"), shards=4, leaf_groups=10, fan=4) for n in (1, 5)]
     assert rows(again[0]) == rows(again[1])
 
 
+def whole_differencing(sizes, k):
+    """Karmarkar-Karp over lists of (sum, members), written out."""
+    parts = [[(-x, [i])] + [(0, [])] * (k - 1) for i, x in enumerate(sizes)]
+    parts = [sorted(p, key=lambda s: s[0]) for p in parts]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0][0] - p[-1][0])
+        a, b = parts[0], parts[1]
+        parts = parts[2:] + [sorted(((x + y, m + o) for (x, m), (y, o) in zip(a, b[::-1])), key=lambda s: s[0])]
+    return [-s for s, _ in parts[0]], [m for _, m in parts[0]]
+
+
+def test_differencing_against_lists():
+    rng = random.Random(8)
+    for k, n in ((2, 30), (3, 50), (7, 40), (4, 3)):
+        # sizes without ties of spreads
+        x = sorted((rng.randrange(1, 10**12) for _ in range(n)), reverse=True)
+        sizes = np.zeros((n, k), np.int64)
+        sizes[:, 0] = x
+        final, slots = sharding.differencing(sizes)
+        sums, members = whole_differencing(x, k)
+        assert list(final) == sums
+        own = [sorted(i for i in range(n) if slots[i, 0] == s) for s in range(k)]
+        assert sorted(own) == sorted(sorted(m) for m in members)
+
+
+def test_a_tree_of_nodes_balances_like_plain_differencing(spark):
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(rng.lognormal(7, 1.5, 30_000), 10**6).astype(int)
+    sizes[:3] = sizes.sum() // 16, sizes.sum() // 20, sizes.sum() // 300
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, n int").select("doc_id", F.repeat(F.lit("x"), F.col("n")).alias("text"))
+    out = []
+    for leaf, fan in ((10**6, 64), (500, 8)):
+        load = sharding.shard(df, F.col("doc_id"), leaf_groups=leaf, fan=fan).groupBy("shard").agg(F.sum("bytes").alias("b")).toPandas()["b"]
+        assert load.sum() == sizes.sum()
+        out.append(load.max() / load.mean())
+    print("max over mean, plain and by a tree:", out)
+    assert out[1] < 1.002, out
+
+
 def test_lines_take_time_by_their_number(spark):
     def took(n):
         text = "\n".join(f"line {i}" for i in range(n))
