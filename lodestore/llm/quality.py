@@ -4,12 +4,14 @@ Public vocabularies measure each text: characters per token and the entropy of i
 the share of pieces that fall back to bytes under a piece vocabulary. Ordinary texts of a language lie close together
 in all three; bands around the middle of each language, or of each script where no language is named, reject the rest.
 A band is the median of all documents of the group, plus and minus so many deviations, which are taken from the
-quartiles, so that a minority of junk moves it little.
+quartiles, so that a minority of junk moves it little. Quartiles come from counts of values in narrow steps, so they are
+the same however documents are partitioned.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestore.llm import common
 
@@ -27,8 +30,8 @@ WIDTHS = {"chars_per_token": 4.5, "byte_share": 8.0, "entropy": 4.5}
 LEAST = {"chars_per_token": 0.25, "byte_share": 0.01, "entropy": 0.01}
 #: A mean over n tokens strays by 1 / sqrt(n), but texts of any length differ by as much as those of so many tokens.
 SETTLED = 1600
-#: Groups with fewer documents to take a band from have none, and reject nothing.
-MIN_DOCUMENTS = 20
+#: Steps in which values are counted for medians and quartiles.
+STEPS = {"chars_per_token": 0.001, "byte_share": 0.00001, "entropy": 0.00001}
 #: Texts with fewer tokens are too short to reject.
 MIN_TOKENS = 32
 #: Words that a worker remembers, and characters of a longer one, which it never does.
@@ -37,8 +40,12 @@ _GROUP = 1 << 20
 
 MEASURES = "struct<n_tokens: long, chars_per_token: double, byte_share: double, entropy: double, script: string>"
 
-#: First and last code point of scripts; what is in none counts as ``Zyyy``.
+#: First and last code point of scripts, and code points in them that are no letters; what is in none counts as ``Zyyy``.
 SCRIPTS = [("Latn", 0x41, 0x24F), ("Grek", 0x370, 0x3FF), ("Cyrl", 0x400, 0x52F), ("Armn", 0x530, 0x58F), ("Hebr", 0x590, 0x5FF), ("Arab", 0x600, 0x77F), ("Deva", 0x900, 0x97F), ("Thai", 0xE00, 0xE7F), ("Hang", 0xAC00, 0xD7AF), ("Kana", 0x3040, 0x30FF), ("Hani", 0x4E00, 0x9FFF)]
+#: Where each script's letters are counted: 0 for what is no letter, else the place in SCRIPTS and one.
+_SCRIPT = np.zeros(0x10000, np.int8)
+for _i, (_, _a, _z) in enumerate(SCRIPTS):
+    _SCRIPT[[c for c in range(_a, _z + 1) if unicodedata.category(chr(c))[0] in "LM"]] = _i + 1
 
 
 class Meter:
@@ -125,11 +132,10 @@ def meter(tokens: str, pieces: str) -> Meter:
 
 
 def script(text: str) -> str:
-    """The script of most letters of ``text``; ``Zyyy`` for none."""
+    """The script of most letters of ``text``, of several the first; ``Zyyy`` for no letters of any in SCRIPTS."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    counts = [(int(((points >= a) & (points <= z)).sum()), name) for name, a, z in SCRIPTS]
-    n, name = max(counts, key=lambda x: x[0])
-    return name if n else "Zyyy"
+    counts = np.bincount(_SCRIPT[points[points < len(_SCRIPT)]], minlength=len(SCRIPTS) + 1)[1:]
+    return SCRIPTS[counts.argmax()][0] if counts.any() else "Zyyy"
 
 
 def measures(text: Column, tokens: str = TOKENS, pieces: str = PIECES, scripts: Column | None = None) -> Column:
@@ -161,24 +167,40 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return rows.select("doc_id", "lang", "k1", "k2", F.coalesce("lang", "m.script").alias("band"), "m.n_tokens", "m.chars_per_token", "m.byte_share", "m.entropy")
 
 
-def bands(rows: DataFrame, widths: dict[str, float] | None = None, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def quantiles(rows: DataFrame, names: list[str], at: dict[str, float]) -> DataFrame:
+    """band and, for each measure and quantile, its value: the least with so large a share of the documents up to it.
+
+    Values are rounded to STEPS and counted, which no order of documents changes.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.rint(F.col(k) / STEPS[k]).cast("long").alias("v")) for k in names)))
+    counts = rows.select("band", each.alias("e")).groupBy("band", "e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("band", "k")
+    so_far = F.sum("n").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("band", "k", "v", so_far.alias("c"), F.sum("n").over(own).alias("total"))
+    pick = [F.min(F.when((F.col("k") == k) & (F.col("c") >= q * F.col("total")), F.col("v") * STEPS[k])).alias(f"{q_name}_{k}") for k in names for q_name, q in at.items()]
+    return placed.groupBy("band").agg(*pick)
+
+
+def bands(rows: DataFrame, widths: dict[str, float] | None = None, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """A row for each band: the middle of characters per token, the slope of entropy, and lo_ and hi_ of each measure.
 
-    Taken from all documents of the group with ``min_tokens`` tokens. Characters per token are judged by their distance
-    from the middle, relative to what texts of that length stray by, and entropy by its distance from the group's line
-    over the logarithm of the length; ``strays`` has both.
+    Taken from all documents of the group with ``min_tokens`` tokens, however few. Characters per token are judged by
+    their distance from the middle, relative to what texts of that length stray by, and entropy by its distance from the
+    group's line over the logarithm of the length; ``strays`` has both.
     """
     widths = WIDTHS | (widths or {})
     long = rows.filter(F.col("n_tokens") >= min_tokens)
-    first = long.groupBy("band").agg(F.percentile_approx("chars_per_token", 0.5, 10000).alias("middle"), F.coalesce(F.regr_slope("entropy", F.log2("n_tokens")), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("documents"))
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    found = strays(long.join(first, "band")).groupBy("band", "middle", "slope", "documents").agg(*(F.percentile_approx(k, at, 10000).alias(k) for k in widths))
+    slopes = long.groupBy("band").agg(F.round(F.coalesce(F.regr_slope("entropy", F.log2("n_tokens")), F.lit(0.0)), 6).alias("slope"))
+    first = quantiles(long, ["chars_per_token"], {"middle": 0.5}).withColumnRenamed("middle_chars_per_token", "middle").join(slopes, "band")
+    # a row for each band
+    first = common.stash(first, "middles")
+    found = quantiles(strays(long.join(first, "band")), list(widths), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     edges = []
     for k, w in widths.items():
         # 1.349 deviations lie between the quartiles of a normal distribution
-        reach = F.greatest((F.col(k)[2] - F.col(k)[0]) / 1.349, F.lit(LEAST[k])) * w
-        edges += [(F.col(k)[1] - reach).alias(f"lo_{k}"), (F.col(k)[1] + reach).alias(f"hi_{k}")]
-    return found.filter(F.col("documents") >= min_documents).select("band", "middle", "slope", *edges)
+        reach = F.greatest((F.col(f"q3_{k}") - F.col(f"q1_{k}")) / 1.349, F.lit(LEAST[k])) * w
+        edges += [(F.col(f"q2_{k}") - reach).alias(f"lo_{k}"), (F.col(f"q2_{k}") + reach).alias(f"hi_{k}")]
+    return first.join(found, "band").select("band", "middle", "slope", *edges)
 
 
 def strays(rows: DataFrame) -> DataFrame:
@@ -199,7 +221,7 @@ def fertility(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """doc_id, band, the measures, reason and accepted, a row for every row of ``df``.
 
     A document is rejected if a measure lies outside the band of its language (of its script, where that is null).
-    Texts of fewer than MIN_TOKENS tokens, and those of bands with fewer than MIN_DOCUMENTS documents, are accepted.
+    Texts of fewer than MIN_TOKENS tokens are accepted, which the README has figures of.
     Null texts (their measures are null) and texts without words are rejected as ``empty``. Repeated rows count as
     often as they come. Other columns are ignored. No rows give no rows.
     """
