@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from lodestore.llm import common
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: At most so many distinct labelled texts, as many of each label by lowest hash, are used for training, each by one stretch of TRAIN_BYTES characters.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 512
+#: The bound of training: at most so many distinct windows of labelled texts, as many of each label by lowest hash.
+TRAIN_WINDOWS = 8000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: A document whose best language has less probability is rejected, if it has at least MIN_BYTES to judge it by.
 MIN_CONFIDENCE, MIN_BYTES = 0.5, 32
@@ -86,38 +86,49 @@ class Network:
             probs[i : i + _CHUNK] = e / e.sum(1, keepdims=True)
         return probs
 
+    def gradients(self, b: np.ndarray, t: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross entropy of windows ``b`` with classes ``t``, and its gradient by each parameter.
+
+        Max pooling sends a filter's gradient to the bytes at its largest place only.
+        """
+        f = np.arange(FILTERS)
+        tops, places = [], []
+        for w, table in zip(WIDTHS, self.tables, strict=True):
+            s = sum(table[j][b[:, j : j + WINDOW - w + 1]] for j in range(w))
+            places.append(s.argmax(1))
+            tops.append(np.take_along_axis(s, places[-1][:, None], 1)[:, 0])
+        pre = np.concatenate(tops, 1) + self.bias
+        h = np.maximum(pre, 0)
+        z = h @ self.out + self.out_bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        own = np.arange(len(t)), t
+        loss = float(-np.log(np.maximum(p[own], 1e-30)).mean())
+        p[own] -= 1
+        p /= len(t)
+        dh = (p @ self.out.T) * (pre > 0)
+        grads = []
+        for k, (w, place) in enumerate(zip(WIDTHS, places, strict=True)):
+            g = np.zeros_like(self.tables[k])
+            for j in range(w):
+                np.add.at(g[j], (np.take_along_axis(b, place + j, 1), f[None]), dh[:, k * FILTERS : (k + 1) * FILTERS])
+            grads.append(g)
+        return loss, [*grads, dh.sum(0), h.T @ p, p.sum(0)]
+
+    def parameters(self) -> list[np.ndarray]:
+        return [*self.tables, self.bias, self.out, self.out_bias]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-        """Adam on the cross entropy; max pooling sends a filter's gradient to the bytes at its largest place only."""
+        """Adam on the cross entropy."""
         rng = np.random.default_rng(seed)
-        params = [*self.tables, self.bias, self.out, self.out_bias]
+        params = self.parameters()
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        f = np.arange(FILTERS)
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(order), BATCH):
-                b, t = x[order[i : i + BATCH]], y[order[i : i + BATCH]]
-                self._pairs = None
-                tops, places = [], []
-                for w, table in zip(WIDTHS, self.tables, strict=True):
-                    s = sum(table[j][b[:, j : j + WINDOW - w + 1]] for j in range(w))
-                    places.append(s.argmax(1))
-                    tops.append(np.take_along_axis(s, places[-1][:, None], 1)[:, 0])
-                pre = np.concatenate(tops, 1) + self.bias
-                h = np.maximum(pre, 0)
-                z = h @ self.out + self.out_bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(t)), t] -= 1
-                p /= len(t)
-                dh = (p @ self.out.T) * (pre > 0)
-                grads = []
-                for k, (w, place) in enumerate(zip(WIDTHS, places, strict=True)):
-                    g = np.zeros_like(self.tables[k])
-                    for j in range(w):
-                        np.add.at(g[j], (np.take_along_axis(b, place + j, 1), f[None]), dh[:, k * FILTERS : (k + 1) * FILTERS])
-                    grads.append(g)
+                _, grads = self.gradients(x[order[i : i + BATCH]], y[order[i : i + BATCH]])
                 step += 1
-                for q, g, mm, vv in zip(params, [*grads, dh.sum(0), h.T @ p, p.sum(0)], m, v, strict=True):
+                for q, g, mm, vv in zip(params, grads, m, v, strict=True):
                     mm += 0.1 * (g - mm)
                     vv += 0.001 * (g * g - vv)
                     q -= RATE * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
@@ -139,62 +150,93 @@ def _no_language(n: int, rng: np.random.Generator) -> list[bytes]:
     return out
 
 
+#: Hashes of windows are below it.
+_HASHES = 1 << 62
+_SAMPLE = "label string, h long, real int, piece binary"
+
+
+def _window_hashes(x: np.ndarray, label: int) -> np.ndarray:
+    """A hash of each row of ``x`` and of the label."""
+    h = np.full(len(x), label, np.uint64)
+    for word in x.view(np.uint64).T:
+        h = common.mix(h ^ word)
+    return (h % np.uint64(_HASHES)).astype(np.int64)
+
+
 def _lowest(each: int, cuts: dict[str, int]):
-    """Of each label, the ``each`` lowest distinct rows of a partition that are under its cut."""
+    """Of each label, a task's ``each`` distinct windows with the lowest hashes under its cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list] = {}
-        schema = None
+        kept: dict[str, tuple[np.ndarray, ...]] = {}
         for b in batches:
-            schema = b.schema
-            label, h, h2, piece = b.column(0), *(b.column(1).field(i) for i in range(3))
-            top = {k: v[-1][:2] for k, v in kept.items() if len(v) == each}
-            for i, (name, *key) in enumerate(zip(label.to_pylist(), h.to_pylist(), h2.to_pylist(), strict=True)):
-                if key[0] < cuts[name] and (name not in top or tuple(key) < top[name]):
-                    kept.setdefault(name, []).append((*key, piece[i].as_py()))
-            kept = {k: sorted(set(v))[:each] for k, v in kept.items()}
-        for name, v in kept.items():
-            yield pa.record_batch([pa.array([name] * len(v), schema.field(0).type), pa.array([dict(zip(("h", "h2", "piece"), x, strict=True)) for x in v], schema.field(1).type)], schema=schema)
+            labels, marks = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.uint64)
+            raw, start, end = common.utf8_buffer(b.column(2))
+            for i, label in enumerate(labels):
+                if label not in cuts:
+                    continue
+                x, _, real = windows(raw, start[i : i + 1], end[i : i + 1])
+                h = _window_hashes(x, marks[i])
+                under = h < (kept[label][0][-1] if label in kept and len(kept[label][0]) == each else cuts[label])
+                if under.any():
+                    new = h[under], real[under], x[under]
+                    h, real, x = (np.concatenate(p) for p in zip(kept[label], new, strict=True)) if label in kept else new
+                    h, first = np.unique(h, return_index=True)
+                    kept[label] = h[:each], real[first][:each], x[first][:each]
+        for label, (h, real, x) in kept.items():
+            yield pa.record_batch([pa.array([label] * len(h)), pa.array(h), pa.array(real, pa.int32()), pa.array([w.tobytes() for w in x], pa.binary())], names=["label", "h", "real", "piece"])
 
     return run
 
 
-def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Network | None:
-    """A network fitted on at most ``rows`` distinct labelled texts of ``df``, as many of each label by lowest hash.
+def sample(df: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_WINDOWS) -> list[tuple[str, int, bytes]]:
+    """(label, bytes, window) of at most ``rows`` distinct windows of labelled texts, as many of each label by lowest hash.
 
-    Each label has a class, also a rare one, and copies of a text count once; if there are more labels than ``rows``,
-    each has one text. Rows without text or label are not used; with no labelled row there is no network. The same
-    rows give the same network, however they are partitioned.
+    All windows of all labelled texts are looked at. What comes to the driver is what is asked for and, since labels
+    are cut by an estimate of their windows, about twice that.
     """
-    named = common.pick(df, text=text_col, label=label_col).filter("text <> '' and label is not null")
-    h = F.xxhash64("text", "label").bitwiseAND((1 << 30) - 1)
-    start = F.floor(F.pmod(h, F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1))).cast("int") + 1
-    piece = F.substring(F.col("text"), start, F.lit(TRAIN_CHARS))
-    named = named.select(F.col("label").cast("string").alias("label"), F.struct(h.alias("h"), F.xxhash64(F.lit("2"), "text").alias("h2"), piece.alias("piece")).alias("r"))
-    labels = {r.label: r.n for r in named.groupBy("label").agg(F.approx_count_distinct("r.h").alias("n")).collect()}
-    if not labels:
-        return None
-    each = max(1, rows // len(labels))
-    # under its cut a label has about twice the texts that it needs, or all
-    cuts = {label: int(min(1, (2 * each + 50) / n) * (1 << 30)) for label, n in labels.items()}
-    lowest = named.mapInArrow(_lowest(each, cuts), named.schema)
-    found: dict[str, set] = {label: set() for label in labels}
-    for r in lowest.distinct().withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("r"))).filter(F.col("n") <= each).collect():
-        found[r.label].add(r.r.piece)
-    sample = sorted((label, piece) for label, pieces in found.items() for piece in pieces)
-    if not sample:
+    common.bound_batches(df.sparkSession)
+    named = common.pick(df, label=label_col, text=text_col).filter("text <> '' and label is not null").select(F.col("label").cast("string").alias("label"), F.xxhash64(F.col("label").cast("string")).bitwiseAND(_HASHES - 1).alias("mark"), "text")
+    windowed = F.sum(F.ceil(F.octet_length("text") / WINDOW))
+    # a row for each label
+    counts = named.groupBy("label").agg((windowed * F.approx_count_distinct(F.xxhash64("text")) / F.count(F.lit(1))).alias("n")).collect()
+    if not counts:
+        return []
+    each = max(1, rows // len(counts))
+    share = {r.label: (2 * each + 50) / max(1, r.n) for r in counts}
+    found: dict[str, dict[int, tuple[int, bytes]]] = {}
+    while share:
+        cuts = {label: int(min(1, s) * _HASHES) for label, s in share.items()}
+        lowest = named.filter(F.col("label").isin(*cuts)) if len(cuts) < 100 else named
+        got: dict[str, dict[int, tuple[int, bytes]]] = {label: {} for label in cuts}
+        place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+        for r in lowest.mapInArrow(_lowest(each, cuts), _SAMPLE).dropDuplicates(["label", "h"]).withColumn("place", place).filter(F.col("place") <= each).collect():
+            got[r.label][r.h] = r.real, bytes(r.piece)
+        # with fewer than asked for under its cut, a label is looked at again under a higher one
+        found |= {label: got[label] for label, s in share.items() if s >= 1 or len(got[label]) == each}
+        share = {label: 8 * s for label, s in share.items() if label not in found}
+    return sorted((label, *own[h]) for label, own in found.items() for h in own)
+
+
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Network | None:
+    """A network fitted on ``sample``: at most ``rows`` distinct windows of WINDOW bytes of the labelled texts of ``df``.
+
+    Each label has a class, also a rare one, and copies count once; if there are more labels than ``rows``, each has one
+    window. Rows without text or label are not used; where no row is labelled there is no network. The same rows give
+    the same network, however they are partitioned.
+    """
+    pieces = sample(df, text_col, label_col, rows)
+    if not pieces:
         return None
     rng = np.random.default_rng(3)
-    classes = sorted({label for label, _ in sample} | {NONE})
-    pieces = [(p.encode(), classes.index(label)) for label, p in sample]
+    classes = sorted({label for label, *_ in pieces} | {NONE})
+    x = np.stack([np.frombuffer(p, np.uint8) for *_, p in pieces])
+    real = np.array([n for _, n, _ in pieces])
+    y = np.array([classes.index(label) for label, *_ in pieces])
     # some windows are cut short, as a document's last one is
-    pieces += [(p[: int(rng.integers(24, WINDOW))], y) for p, y in pieces[::3]]
-    pieces += [(p, classes.index(NONE)) for p in _no_language(max(32, len(sample) // 8), rng)]
-    raw = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
-    end = np.cumsum([len(p) for p, _ in pieces])
-    x, doc, real = windows(raw, end - [len(p) for p, _ in pieces], end)
-    keep = real >= 16
-    return Network(classes).fit(x[keep], np.array([y for _, y in pieces])[doc[keep]], epochs)
+    short = x[::3].copy()
+    short[np.arange(WINDOW) >= np.minimum(real[::3], rng.integers(24, WINDOW, len(short)))[:, None]] = 0
+    none = np.stack([np.frombuffer(p.ljust(WINDOW, b"\0"), np.uint8) for p in _no_language(max(32, len(x) // 8), rng)])
+    return Network(classes).fit(np.concatenate([x, short, none]), np.concatenate([y, y[::3], np.full(len(none), classes.index(NONE))]), epochs)
 
 
 def classify(network: Network | None, texts: pa.Array, min_confidence: float = MIN_CONFIDENCE) -> pa.Array:

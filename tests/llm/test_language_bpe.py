@@ -131,10 +131,54 @@ def test_bpe_odd(odd, none):
 
 def test_a_rare_label_is_trained_and_copies_count_once(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(language_id.Network, "fit", lambda self, x, y, *a, **k: seen.append((self.classes, len(x))) or self)
-    docs = [(f"the text number {i} of the frequent label", "en") for i in range(3000)] + [("one copy of many, again and again and again", "en")] * 3000 + [("ein seltener Text von nur einer Zeile", "de")]
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, x, y, *a, **k: seen.append((self.classes, x, y)) or self)
+    docs = [(f"the text number {i} of the frequent label", "en") for i in range(3000)] + [("one copy of many, again and again and again", "en")] * 30_000 + [("ein seltener Text von nur einer Zeile", "de"), ("x", "fr")]
     df = spark.createDataFrame(docs, "text string, lang string")
     for n in (1, 4):
         language_id.train(df.repartition(n), rows=100)
-    assert seen[0] == seen[1] and seen[0][0] == ["de", "en", language_id.NONE]
-    assert seen[0][1] < 100 + 100 // 3 + 32 + 10
+    assert (seen[0][1] == seen[1][1]).all() and (seen[0][2] == seen[1][2]).all() and seen[0][0] == ["de", "en", "fr", language_id.NONE]
+    assert len(seen[0][1]) < 100 + 100 // 3 + 32 + 10
+
+
+def test_the_sample_is_the_lowest_windows_and_bounded(spark):
+    texts = [(f"{'long text ' * 200}{i} " + "end " * (i % 90), "en" if i % 3 else "de") for i in range(300)]
+    df = spark.createDataFrame(texts + texts[:1] * 20_000, "text string, lang string")
+    got = language_id.sample(df, rows=200)
+    want = {}
+    for text, label in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for i in range(0, len(raw), language_id.WINDOW):
+            w = raw[i : i + language_id.WINDOW]
+            want.setdefault(label, {})[w.tobytes().ljust(language_id.WINDOW, b"\0")] = len(w)
+    for label in ("de", "en"):
+        own = {p: n for k, n, p in got if k == label}
+        assert len(own) == min(100, len(want[label])) == sum(k == label for k, *_ in got) and all(want[label][p] == n for p, n in own.items())
+        mark = df.select(F.xxhash64(F.lit(label)).bitwiseAND(language_id._HASHES - 1)).first()[0]
+        every = sorted(want[label], key=lambda p: int(language_id._window_hashes(np.frombuffer(p, np.uint8)[None], np.uint64(mark))[0]))
+        assert set(own) == set(every[:100])
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(1)
+    net = language_id.Network(["a", "b", "c"], seed=3)
+    for name in ("bias", "out", "out_bias"):
+        setattr(net, name, rng.normal(0, 0.3, getattr(net, name).shape))
+    net.tables = [t.astype(np.float64) for t in net.tables]
+    x = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
+    y = np.array([0, 1, 2, 1, 0])
+    loss, grads = net.gradients(x, y)
+    assert abs(loss + np.log(net.probabilities(x)[np.arange(5), y]).mean()) < 1e-4
+    tried = 0
+    for p, g in zip(net.parameters(), grads, strict=True):
+        assert p.shape == g.shape
+        flat, own = p.reshape(-1), g.reshape(-1)
+        for i in {*np.argsort(-abs(own))[:15].tolist(), *rng.integers(0, own.size, 5).tolist()}:
+            was, step = flat[i], 1e-6
+            flat[i] = was + step
+            up = net.gradients(x, y)[0]
+            flat[i] = was - step
+            down = net.gradients(x, y)[0]
+            flat[i] = was
+            assert abs((up - down) / (2 * step) - own[i]) < 1e-5 + 1e-3 * abs(own[i])
+            tried += own[i] != 0
+    assert tried > 60
