@@ -1,15 +1,18 @@
 """License scans: a positional rare-token index.
 
-Each notice is a template of words with phrases that it must have. An index has every template word's positions. A
-first pass counts, over all documents, in how many each licence word occurs. A second one looks up the words of each
-file that are the rarest of a template's phrases: such a word, found at a place, says where the template would begin.
-The other words' postings are intersected at that relative position, and where enough of them agree, the phrases are
-verified word for word. A template can't match without its phrases, so looking up one word of them misses nothing.
+Each notice is a template of words with phrases that it must have. The index has postings of every template word: in
+which templates it stands, and at which places. A first pass counts, over all documents, in how many each word occurs,
+which orders the words by rarity. A second one takes each file's rarest licence words, looks their postings up, and
+intersects, for each template that has all words of its phrases in the file, where the template would have to begin:
+the words of its first phrase agree on one beginning, or it isn't there. Where the postings of enough of the other words
+agree with that beginning, the phrases are verified word for word. Rarity decides what is looked up first, never what is
+found.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +68,7 @@ FOUND = "doc_id long, license string, start long, words long, share double"
 
 
 class Index:
-    """Positions of the words of all templates; ``rarity`` has in how many documents each occurs."""
+    """Postings (template, place) of the words of all templates; ``rank`` orders words by rarity."""
 
     def __init__(self, templates: list[tuple[str, str, tuple[str, ...]]] = TEMPLATES):
         words = sorted({w for _, text, phrases in templates for w in " ".join([text, *phrases]).split()})
@@ -78,18 +81,29 @@ class Index:
         self.hashes = hashes[self.order]
         at = {w: i for i, w in enumerate(words)}
         self.templates = [(name, np.array([at[w] for w in text.split()]), [np.array([at[w] for w in p.split()]) for p in phrases]) for name, text, phrases in templates]
-        for name, text, phrases in self.templates:
-            if not phrases or any(not _within(text, p, 0, len(text)) for p in phrases):
+        self.postings: dict[int, list[tuple[int, int]]] = {}
+        #: Where each template's first phrase stands in it, and the words of all its phrases.
+        self.head: list[int] = []
+        self.needed: list[np.ndarray] = []
+        for t, (name, text, phrases) in enumerate(self.templates):
+            if not phrases or any(not len(_occurrences(text, p)) for p in phrases):
                 raise ValueError(f"the template of {name} lacks its phrases")
-        self.anchors: dict[int, list[tuple[int, int]]] = {}
+            for place, w in enumerate(text.tolist()):
+                self.postings.setdefault(w, []).append((t, place))
+            self.head.append(int(_occurrences(text, phrases[0])[0]))
+            self.needed.append(np.unique(np.concatenate(phrases)))
+        self.rank(np.zeros(len(words), np.int64))
 
     def rank(self, documents: np.ndarray) -> Index:
-        """Chooses each template's rarest word among its phrases; of equally rare ones the first in the alphabet."""
-        self.anchors = {}
-        for t, (_, text, phrases) in enumerate(self.templates):
-            word = min({int(w) for p in phrases for w in p}, key=lambda w: (documents[w], w))
-            for place in np.flatnonzero(text == word):
-                self.anchors.setdefault(word, []).append((t, int(place)))
+        """Orders words by the documents that have them, rare ones first; equally common ones by the alphabet."""
+        self.rarity = np.empty(len(self.words), np.int64)
+        self.rarity[np.lexsort((np.arange(len(self.words)), documents[: len(self.words)]))] = np.arange(len(self.words))
+        # a template is looked up by the rarest word of its first phrase
+        self.asked: dict[int, list[int]] = {}
+        for t, (_, _, phrases) in enumerate(self.templates):
+            self.asked.setdefault(int(min(phrases[0], key=self.rarity.__getitem__)), []).append(t)
+        self.lookups = np.zeros(len(self.words) + 1, bool)
+        self.lookups[list(self.asked)] = True
         return self
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
@@ -97,45 +111,75 @@ class Index:
         i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[i] == hashes, self.order[i], -1)
 
-    def holds(self, doc: np.ndarray, t: int, start: int) -> int:
-        """How many words agree if template ``t`` begins at ``start``; 0 if too few do or a phrase is missing."""
-        _, text, phrases = self.templates[t]
-        places = start + np.arange(len(text))
-        hit = np.zeros(len(text), bool)
-        for off in range(-SLACK, SLACK + 1):
-            p = places + off
-            inside = (p >= 0) & (p < len(doc))
-            hit[inside] |= doc[p[inside]] == text[inside]
-        n = int(hit.sum())
-        if n < MIN_SHARE * len(text) or not all(_within(doc, p, start - SLACK, start + len(text) + SLACK) for p in phrases):
-            return 0
-        return n
-
     def scan(self, doc: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(licence, first word, words, share) of what ``doc``, an array of ``known``, has of licences."""
+        at = np.flatnonzero(doc >= 0)
+        order = at[np.argsort(doc[at], kind="stable")]
+        own, first = np.unique(doc[order], return_index=True)
+        places = dict(zip(own.tolist(), np.split(order, first[1:]), strict=True))
         found = []
-        for word, postings in self.anchors.items():
-            for d in np.flatnonzero(doc == word):
-                for t, place in postings:
-                    if n := self.holds(doc, t, int(d) - place):
-                        found.append((-n, int(d) - place, t))
-        return self.settle(found)
-
-    def settle(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        for word in sorted((w for w in places if self.lookups[w]), key=self.rarity.__getitem__):
+            for t in self.asked[word]:
+                if all(w in places for w in self.needed[t].tolist()):
+                    found += self._matches(doc, t, places)
+        return self._settle(found)
+
+    def _starts(self, t: int, places: dict[int, np.ndarray]) -> np.ndarray:
+        """Where template ``t`` would begin by the postings of its first phrase, the rarest word first."""
+        phrase, starts = self.templates[t][2][0], None
+        for k in sorted(range(len(phrase)), key=lambda k: self.rarity[phrase[k]]):
+            own = places[int(phrase[k])] - (self.head[t] + k)
+            starts = own if starts is None else starts[np.isin(starts, own, assume_unique=True)]
+            if not len(starts):
+                break
+        return starts
+
+    def _matches(self, doc: np.ndarray, t: int, places: dict[int, np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(minus the words that agree, first word, end, template) of every place where ``t`` stands."""
+        _, text, phrases = self.templates[t]
+        starts = self._starts(t, places)
+        if not len(starts):
+            return []
+        # the place nearest to its own at which each word stands, 0 to 2 * SLACK by closeness, else none
+        offs = sorted(range(-SLACK, SLACK + 1), key=lambda x: (abs(x), x))
+        begin, end, agree = np.full(len(starts), -1), np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+        for place, word in enumerate(text.tolist()):
+            own = places.get(word)
+            if own is None:
+                continue
+            want, hit = starts + place, np.full(len(starts), -1)
+            for off in offs:
+                i = np.minimum(np.searchsorted(own, want + off), len(own) - 1)
+                hit = np.where((hit < 0) & (own[i] == want + off), want + off, hit)
+            agree += hit >= 0
+            begin = np.where((begin < 0) & (hit >= 0), hit, begin)
+            end = np.maximum(end, hit)
+        good = agree >= MIN_SHARE * len(text)
+        for p in phrases[1:]:
+            if good.any():
+                own = _occurrences(doc, p)
+                i = np.searchsorted(own, starts - SLACK)
+                good &= np.append(own, len(doc) + len(text) + SLACK)[i] + len(p) <= starts + len(text) + SLACK
+        return [(-int(agree[i]), int(begin[i]), int(end[i]) + 1, t) for i in np.flatnonzero(good)]
+
+    def _settle(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Of overlapping matches the one with more words stays, then the earlier one, then the first template."""
-        kept: list[tuple[int, int, int, int]] = []
-        for n, start, t in sorted(set(found)):
-            size = len(self.templates[t][1])
-            if all(start >= z or start + size <= a for a, z, *_ in kept):
-                kept.append((start, start + size, t, -n))
-        return [(self.templates[t][0], max(0, a), z - a, n / (z - a)) for a, z, t, n in sorted(kept)]
+        starts: list[int] = []
+        kept: dict[int, tuple[int, int, int]] = {}
+        for n, a, z, t in sorted(set(found), key=lambda x: (x[0], x[1], x[3])):
+            i = bisect(starts, a)
+            if (i == 0 or kept[starts[i - 1]][0] <= a) and (i == len(starts) or z <= starts[i]):
+                starts.insert(i, a)
+                kept[a] = z, t, -n
+        return [(self.templates[t][0], a, z - a, n / len(self.templates[t][1])) for a in starts for z, t, n in [kept[a]]]
 
 
-def _within(doc: np.ndarray, phrase: np.ndarray, start: int, end: int) -> bool:
-    """Whether ``phrase`` stands word for word in ``doc[start:end]``."""
-    part = doc[max(0, start) : max(0, end)]
-    n = len(part) - len(phrase) + 1
-    return n > 0 and bool(np.all([part[i : i + n] == w for i, w in enumerate(phrase)], axis=0).any())
+def _occurrences(doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """The places at which ``phrase`` stands word for word in ``doc``."""
+    n = len(doc) - len(phrase) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.all([doc[i : i + n] == w for i, w in enumerate(phrase)], axis=0))
 
 
 def _numbers(index: Index, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +211,12 @@ def document_counts(rows: DataFrame, index: Index) -> np.ndarray:
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, tuple[str, ...]]] = TEMPLATES) -> DataFrame:
     """doc_id, license, start and words (in words of the text) and share, a row for every licence found.
 
-    Case and punctuation don't count. Of overlapping matches the longest is reported. Null, empty and other texts
-    without a licence give no row; null identifiers are reported as null; repeated rows are reported as often as they
-    come. Other columns are ignored.
+    A template stands where its first phrase does, word for word, if its other phrases do so up to SLACK words beyond
+    its ends and MIN_SHARE of its words stand within SLACK of their places. ``start`` and ``words`` reach from the first
+    of those words to the last one, and ``share`` is how many of the template's words they are. Case and punctuation
+    don't count. Of overlapping matches the one with more words is reported, then the earlier, then the first template.
+    Null, empty and other texts without a licence give no row; identifiers are whole numbers of 64 bits, null ones are
+    reported as null; repeated rows are reported as often as they come. Other columns are ignored. No rows give no rows.
     """
     common.bound_batches(df.sparkSession)
     rows = common.pick(df, doc_id=id_col, text=text_col).filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
@@ -180,7 +227,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             known, n = _numbers(index, b)
             end = np.cumsum(n)
-            asked = np.flatnonzero(np.isin(known, list(index.anchors)))
+            asked = np.flatnonzero(index.lookups[known])
             out = []
             for d in np.unique(np.searchsorted(end, asked, side="right")):
                 doc = b.column(0)[int(d)].as_py()
