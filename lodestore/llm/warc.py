@@ -8,6 +8,7 @@ for the record at hand, more than a block of it.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -141,6 +142,12 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str], It
             pass
 
 
+def _page_id(fields: dict[str, str]) -> int | None:
+    """The identifier of a page; null for a foreign one that is no whole number of 64 bits."""
+    text = fields.get("warc-page-id", "")
+    return n if re.fullmatch("-?[0-9]{1,19}", text) and -(1 << 63) <= (n := int(text)) < 1 << 63 else None
+
+
 def _normalise(target: str, attempt: str, files: list[str]) -> Iterator[pa.RecordBatch]:
     for path in files:
         fs, name = common.filesystem(path)
@@ -159,8 +166,7 @@ def _normalise(target: str, attempt: str, files: list[str]) -> Iterator[pa.Recor
                 out.write(z.compress(_END))
                 out.write(z.flush())
                 at = out.tell()
-                page = fields.get("warc-page-id", "")
-                rows.append((f"{target}/{stem}.gz", n, start, at - start, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-record-id"), int(page) if page.lstrip("-").isdigit() else None))
+                rows.append((f"{target}/{stem}.gz", n, start, at - start, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-record-id"), _page_id(fields)))
         side = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_INDEX), _INDEX, strict=True)], schema=_INDEX)
         with out_fs.open_output_stream(f"{folder}/{stem}.idx", compression=None) as sink, pa.ipc.new_stream(sink, _INDEX) as writer:
             writer.write_table(side)
@@ -231,13 +237,14 @@ def _escape(url: str) -> str:
 
 
 def _unescape(url: str) -> str:
-    import re
-
     return re.sub(r"%\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), url)
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """page_id, url and html of every record that ``index`` names, each from its own member alone."""
+    """page_id, url, html and record_bytes of every record that ``index`` names, each from its own member alone.
+
+    A member that holds anything but its one record is ``Malformed``. ``record_bytes`` is its size, inflated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,10 +257,12 @@ def read_records(index: DataFrame) -> DataFrame:
                     opened, name = fs.open_input_file(path), file
                 opened.seek(offset)
                 member = zlib.decompress(opened.read(length), 31)
-                _, fields, payload = next(records(iter([member])))
-                body = b"".join(payload)
-                page, url = fields.get("warc-page-id"), fields.get("warc-target-uri")
-                rows.append((None if page is None else int(page), None if url is None else _unescape(url), None if "warc-page-null" in fields else body.decode("utf-8", "replace")))
+                found = records(iter([member]))
+                _, fields, payload = next(found)
+                body, url = b"".join(payload), fields.get("warc-target-uri")
+                if next(found, None) is not None:
+                    raise Malformed(f"more than a record in the member at {offset} of {file}")
+                rows.append((_page_id(fields), None if url is None else _unescape(url), None if "warc-page-null" in fields else body.decode("utf-8", "replace"), len(member)))
                 size += len(body)
                 if size > common.ARROW_BATCH_BYTES:
                     yield _pages(rows)
@@ -266,17 +275,17 @@ def read_records(index: DataFrame) -> DataFrame:
     places = index.select("file", "offset", "length")
     total = places.agg(F.sum("length")).first()[0] or 0
     spread = places.repartitionByRange(max(1, -(-total // READ_BYTES)), "file", "offset")
-    return spread.mapInArrow(run, "page_id long, url string, html string")
+    return spread.mapInArrow(run, "page_id long, url string, html string, record_bytes long")
 
 
 def _pages(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["page_id", "url", "html"])
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "html", "record_bytes"])
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """page_id, url and html of every row of ``pages``, through monolithic files, the normaliser and its index.
+    """page_id, url, html and record_bytes of every row of ``pages``, through monolithic files, the normaliser and its index.
 
-    Nulls, empty pages and repeated rows come back as they were; other columns don't. No rows give no rows.
+    Identifiers are whole numbers of 64 bits. Nulls, empty pages and repeated rows come back as they were; other columns don't. No rows give no rows.
     """
     files = write_monolithic(pages, id_col, url_col, html_col, file_bytes)
     return read_records(normalise(pages.sparkSession, files))
@@ -287,4 +296,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.table(spark, sf_dir, "pages"))
 
 
-SQL = "SELECT page_id, url, html FROM pages"
+#: ``record_bytes`` says that each page came out of a record of its own, head and all.
+SQL = """
+SELECT page_id, url, html, CAST(octet_length(encode(concat_ws(chr(13) || chr(10),
+  'WARC/1.1', 'WARC-Type: response', 'WARC-Record-ID: <urn:uuid:' || repeat('0', 36) || '>', 'WARC-Page-Id: ' || page_id, 'WARC-Target-URI: ' || url,
+  CASE WHEN html IS NULL THEN 'WARC-Page-Null: true' END, 'Content-Length: ' || coalesce(octet_length(encode(html)), 0), '', coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)))) AS BIGINT) AS record_bytes
+FROM pages
+"""
