@@ -12,7 +12,9 @@ the smallest identifier stays.
 Only distinct pairs of hashes are searched, as packed arrays: texts don't move for it, and thousands of copies are one.
 The tables are gone through twice: first with sixteen bytes a fingerprint, to see which have any other
 within reach; then with those only and with the hashes of their word pairs, to apply both radii to every pair of a
-bucket. What is left of a bucket is a spanning forest of all its accepted pairs.
+bucket. What is left of a bucket is a spanning forest of all its accepted pairs. A large bucket is searched component by
+component: what one pivot reaches need not be compared among itself, and of the rest only what the triangle inequality
+leaves. A part of a table that a hot key makes too large is cut into blocks, and each two blocks are a task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from lodestore.llm import common
 RADIUS, REACH, PAIR_RADIUS = 13, 22, 34
 #: Bytes of fingerprints that one task compares at a time; the number of a table's parts follows from it.
 PART_BYTES = 16 << 20
+#: A part with so many times the mean is cut into blocks of BLOCK fingerprints.
+HOT, BLOCK = 1.5, 1 << 17
+#: Fingerprints of a bucket from which on it is searched component by component.
+LARGE = 64
 _STRETCH = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True] * 128)
@@ -100,13 +106,10 @@ def _bits(hashes: np.ndarray, weights: np.ndarray) -> int:
     return int.from_bytes(np.packbits(weights @ each * 2 > weights.sum(), bitorder="little").tobytes(), "little", signed=True)
 
 
-_LOG = np.round(64 * (1 + 2 * np.log(np.arange(1, 1 << 16)))).astype(np.float64)
-
-
 def fingerprint(words: np.ndarray) -> tuple[int, int, int, int]:
     """The two halves of the SimHash of a text's words and of that of its word pairs."""
     seen, n = np.unique(words, return_counts=True)
-    weight = _LOG[np.minimum(n, len(_LOG)) - 1]
+    weight = np.round(64 * (1 + 2 * np.log(n)))
     with np.errstate(over="ignore"):
         pairs = np.unique(common.mix(words[:-1] * _BASE + words[1:])) if len(words) > 1 else seen
     one = np.ones(len(pairs))
@@ -124,28 +127,79 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([*b.columns[:3], fp, *(pa.array(c[:, i], mask=n == 0) for i in (2, 3))], names=["doc_id", "k1", "k2", "fp", "v1", "v2"])
 
 
-def _tables(parts: int):
-    """Sends each fingerprint, its halves first, to its part of every table, packed."""
+def _places(fp: np.ndarray, t: int, parts: int) -> np.ndarray:
+    """The part of table ``t`` that each fingerprint belongs to."""
+    half, mask = TABLES[t]
+    return (common.mix(fp[:, half] & mask) % np.uint64(parts)).astype(np.int64)
+
+
+def _sizes(parts: int):
+    """Parts (slot) in which a task has clearly more than the mean of its fingerprints, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(parts * len(TABLES), np.int64), 0
+        for b in batches:
+            fp = np.stack([c.to_numpy() for c in b.columns], 1).view(np.uint64)
+            rows += len(fp)
+            for t in range(len(TABLES)):
+                counts[t * parts : (t + 1) * parts] += np.bincount(_places(fp, t, parts), minlength=parts)
+        over = np.flatnonzero(counts > 1.25 * rows / parts + 4 * np.sqrt(rows / parts))
+        yield pa.record_batch([pa.array(over), pa.array(counts[over])], names=["slot", "n"])
+
+    return run
+
+
+def _hot(prints: DataFrame, parts: int, total: int) -> dict[int, int]:
+    """The parts that are too large for a task, and the number of blocks that each is cut into.
+
+    Hashes spread fingerprints evenly over tasks, so a task's counts show what is hot in all.
+    """
+    if total <= 2 * BLOCK:
+        return {}
+    sizes = prints.mapInArrow(_sizes(parts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    limit = max(2 * BLOCK, HOT * total / parts)
+    # fewer than len(TABLES) / HOT for each part
+    return {r.slot: -(-r.n // BLOCK) for r in sizes.filter(F.col("n") > limit).collect()}
+
+
+def _tables(parts: int, hot: dict[int, int]):
+    """Sends each fingerprint, its halves first, to its part of every table, packed.
+
+    In a part of several blocks, each goes to all pairs of blocks that have its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.stack([c.to_numpy() for c in b.columns], 1).view(np.uint64)
-            slots, packs, size = [], [], 0
-            for t, (half, mask) in enumerate(TABLES):
-                part = common.mix(fp[:, half] & mask) % np.uint64(parts)
+            own_hash = common.mix(common.mix(fp[:, 0] ^ _BASE) ^ fp[:, -1] ^ (fp[:, 1] << np.uint64(1)))
+            slots, pairs, packs, size = [], [], [], 0
+            for t in range(len(TABLES)):
+                part = _places(fp, t, parts)
                 order = np.argsort(part, kind="stable")
                 cuts = np.flatnonzero(np.diff(part[order])) + 1
                 for own in np.split(order, cuts) if len(order) else []:
-                    slots.append(t * parts + int(part[own[0]]))
-                    packs.append(fp[own].tobytes())
-                    size += fp.itemsize * fp.shape[1] * len(own)
-                if size > common.ARROW_BATCH_BYTES or t + 1 == len(TABLES):
-                    yield pa.record_batch([pa.array(slots, pa.int64()), pa.array(packs, pa.binary())], names=["slot", "pack"])
-                    slots, packs, size = [], [], 0
+                    slot = t * parts + int(part[own[0]])
+                    blocks = hot.get(slot, 1)
+                    block = (own_hash[own] % np.uint64(blocks)).astype(np.int64)
+                    for i in np.unique(block).tolist():
+                        pack = fp[own[block == i]].tobytes()
+                        for j in range(blocks) if blocks > 1 else [i]:
+                            if j != i or blocks == 1:
+                                slots.append(slot)
+                                pairs.append(min(i, j) * blocks + max(i, j))
+                                packs.append(pack)
+                                size += len(pack)
+                    if size > common.ARROW_BATCH_BYTES:
+                        yield pa.record_batch([pa.array(slots, pa.int64()), pa.array(pairs, pa.int64()), pa.array(packs, pa.binary())], names=["slot", "pair", "pack"])
+                        slots, pairs, packs, size = [], [], [], 0
+            yield pa.record_batch([pa.array(slots, pa.int64()), pa.array(pairs, pa.int64()), pa.array(packs, pa.binary())], names=["slot", "pair", "pack"])
 
     return run
 
 
+_PACKED = "slot long, pair long, pack binary"
+
+
 def _root(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
     """The roots of ``i``, whose paths are shortened."""
     r = parent[i]
@@ -170,8 +224,12 @@ def linked(fp: np.ndarray, half: int, mask: np.uint64, reach: int, pair_radius:
     order = np.lexsort((*fp.T[::-1], key))
     fp, key = fp[order], key[order]
     n = len(fp)
+    bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]]) if n else np.zeros(1, np.int64)
+    sizes = np.diff(bounds)
     parent, pairs = np.arange(n), [np.zeros((0, 2), np.int64)]
-    at, step = np.arange(max(0, n - 1)), 1
+    # small buckets all at once: each row is compared with the one so many places on
+    small = np.repeat(sizes < LARGE, sizes)
+    at, step = np.flatnonzero(small[: max(0, n - 1)]), 1
     while len(at := at[key[at] == key[at + step]]):
         i = at[np.bitwise_count(fp[at, :2] ^ fp[at + step, :2]).sum(1, dtype=np.int64) <= reach]
         i = i[np.bitwise_count(fp[i, 2:] ^ fp[i + step, 2:]).sum(1, dtype=np.int64) <= pair_radius]
@@ -185,9 +243,69 @@ def linked(fp: np.ndarray, half: int, mask: np.uint64, reach: int, pair_radius:
             pairs.append(np.stack([i[one], j[one]], 1))
         step += 1
         at = at[at + step < n]
+    for k in np.flatnonzero(sizes >= LARGE):
+        pairs.append(bounds[k] + _forest(fp[bounds[k] : bounds[k + 1]], 1 - half, reach, pair_radius))
     return fp.view(np.int64)[np.concatenate(pairs)].reshape(-1, 2 * fp.shape[1])
 
 
+#: Rows and columns of the comparisons of a step.
+_ROWS, _COLUMNS = 64, 1 << 15
+
+
+def _forest(fp: np.ndarray, first: int, reach: int, pair_radius: int) -> np.ndarray:
+    """A spanning forest of all near pairs of rows; ``first`` is the half that tells most of them apart.
+
+    One component after the other is completed. A pivot is compared with all that is left; what it reaches, and what
+    that reaches in turn, joins its component and is compared with what is still left. As far as distances obey the
+    triangle inequality by the pivot, of these only those can be near whose distance from the pivot differs by ``reach``
+    at most, and that of their word pairs by ``pair_radius``.
+    """
+    cols = [np.ascontiguousarray(fp[:, k]) for k in (first, 1 - first, *range(2, fp.shape[1]))]
+    left = np.arange(len(fp))
+    links = []
+    while len(left) > 1:
+        pivot, at = [c[0] for c in cols], left[0]
+        left, cols = left[1:], [c[1:] for c in cols]
+        near = np.flatnonzero(np.bitwise_count(cols[0] ^ pivot[0]) <= reach)
+        if len(near):
+            near = near[_apart([c[near] for c in cols[:2]], pivot[:2]) <= reach]
+        if len(near) and len(cols) > 2:
+            near = near[_apart([c[near] for c in cols[2:]], pivot[2:]) <= pair_radius]
+        if not len(near):
+            continue
+        links.append(np.stack([np.full(len(near), at), left[near]], 1))
+        # distances from the pivot, once for the whole component
+        far = [_apart(cols[:2], pivot[:2]), _apart(cols[2:], pivot[2:]) if len(cols) > 2 else np.zeros(len(left), np.int16)]
+        new = left[near], [c[near] for c in cols], [d[near] for d in far]
+        rest = np.ones(len(left), bool)
+        rest[near] = False
+        left, cols, far = left[rest], [c[rest] for c in cols], [d[rest] for d in far]
+        while len(new[0]) and len(left):
+            joined = np.full(len(left), -1)
+            order = np.argsort(new[2][0], kind="stable")
+            for i in range(0, len(order), _ROWS):
+                own = order[i : i + _ROWS]
+                d, e = new[2][0][own], new[2][1][own]
+                open_ = np.flatnonzero((joined < 0) & (far[0] >= d.min() - reach) & (far[0] <= d.max() + reach) & (far[1] >= e.min() - pair_radius) & (far[1] <= e.max() + pair_radius))
+                for k in range(0, len(open_), _COLUMNS):
+                    j = open_[k : k + _COLUMNS]
+                    ok = _apart([c[None, j] for c in cols[:2]], [c[own, None] for c in new[1][:2]]) <= reach
+                    if len(cols) > 2:
+                        ok &= _apart([c[None, j] for c in cols[2:]], [c[own, None] for c in new[1][2:]]) <= pair_radius
+                    hit = ok.any(0)
+                    joined[j[hit]] = new[0][own][ok[:, hit].argmax(0)]
+            got = joined >= 0
+            links.append(np.stack([joined[got], left[got]], 1))
+            new = left[got], [c[got] for c in cols], [d[got] for d in far]
+            left, cols, far = left[~got], [c[~got] for c in cols], [d[~got] for d in far]
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+
+
+def _apart(a: list[np.ndarray], b: list) -> np.ndarray:
+    """Differing bits of words ``a`` and ``b``, summed."""
+    return sum(np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b, strict=True))
+
+
 #: A fingerprint, and one with the hash of word pairs.
 _PRINT, _NODE = "x long, y long", "x long, y long, v1 long, v2 long"
 
@@ -216,20 +334,20 @@ def _links(parts: int, reach: int, pair_radius: int):
     return run
 
 
-def _parts(prints: DataFrame) -> int:
-    return max(1, -(-prints.count() * 8 * len(prints.columns) // PART_BYTES))
-
-
 def near_links(prints: DataFrame, reach: int, pair_radius: int) -> DataFrame:
     """Links a, b between near ones of the distinct ``prints`` (x, y, v1, v2) that hold all near ones together."""
-    halves = prints.select("x", "y")
-    parts = _parts(halves)
-    reached = halves.mapInArrow(_tables(parts), "slot long, pack binary").groupBy("slot").applyInArrow(_reached(parts, reach), _PRINT).distinct()
+
+    def packed(rows: DataFrame) -> tuple:
+        total = rows.count()
+        parts = max(1, -(-total * 8 * len(rows.columns) // PART_BYTES))
+        return rows.mapInArrow(_tables(parts, _hot(rows, parts, total)), _PACKED).groupBy("slot", "pair"), parts
+
+    groups, parts = packed(prints.select("x", "y"))
+    reached = groups.applyInArrow(_reached(parts, reach), _PRINT).distinct()
     prints = common.stash(prints.join(reached, ["x", "y"], "left_semi"), "reached")
-    parts = _parts(prints)
-    packed = prints.mapInArrow(_tables(parts), "slot long, pack binary")
+    groups, parts = packed(prints)
     node = f"struct<{_NODE.replace(' long', ': long')}>"
-    return packed.groupBy("slot").applyInArrow(_links(parts, reach, pair_radius), f"a {node}, b {node}").distinct()
+    return groups.applyInArrow(_links(parts, reach, pair_radius), f"a {node}, b {node}").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,21 +360,18 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges, before = common.stash(edges, "links"), None
     while True:
+        last = edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.withColumn("m", F.least("a", F.min("b").over(over))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.withColumn("m", F.min("b").over(over))
         edges = common.stash(low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct(), "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        common.drop(last)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         before = now
 
 
-def _group(kind: int, *key: Column | str) -> Column:
-    zero = F.lit(0).cast("long")
-    return F.struct(F.lit(kind).alias("kind"), *(F.coalesce(F.col(x) if isinstance(x, str) else x, zero).alias(name) for x, name in zip([*key, zero, zero], "xyzw")))
-
-
 def _verdicts(df: DataFrame, id_col: str, text_col: str, reach: int, pair_radius: int) -> DataFrame:
     """doc_id, k1, k2, keeper_id and is_duplicate of each row; k1 and k2 are the row's keys."""
     spark = df.sparkSession
@@ -264,24 +379,28 @@ def _verdicts(df: DataFrame, id_col: str, text_col: str, reach: int, pair_radius
     k1, k2 = common.row_keys("doc_id", "text")
     picked = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = picked.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.lower("text").alias("text"))
-    rows = common.stash(rows.mapInArrow(_fingerprints, "doc_id long, k1 long, k2 long, fp struct<x: long, y: long>, v1 long, v2 long"), "prints")
+    rows = rows.mapInArrow(_fingerprints, "doc_id long, k1 long, k2 long, fp struct<x: long, y: long>, v1 long, v2 long")
+    # the number tells repeated rows apart; it is written with them, since it may not come out the same again
+    rows = common.stash(rows.withColumn("token", F.monotonically_increasing_id()), "prints")
     # texts that agree in both hashes are one; those with one fingerprint and other word pairs are compared like any others
     node = F.struct("fp.x", "fp.y", "v1", "v2")
     prints = common.stash(rows.filter("fp is not null").select(node.alias("p")).distinct().select("p.*"), "distinct")
     roots = components(near_links(prints, reach, pair_radius))
-    told = rows.withColumn("node", F.when(F.col("fp").isNotNull(), node)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # a text without words is a group of its own
-    group = F.when(F.col("fp").isNull(), _group(0, "k1", "k2")).otherwise(_group(1, *(F.col("root")[c] for c in ("x", "y", "v1", "v2"))))
-    inside = Window.partitionBy("g.kind", "g.x", "g.y", "g.z", "g.w").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")
-    told = told.withColumn("g", group).select("doc_id", "k1", "k2", F.first("doc_id").over(inside).alias("keeper_id"), (F.row_number().over(inside) > 1).alias("is_duplicate"), F.col("fp").isNull().alias("bare"))
-    return told.withColumn("is_duplicate", F.col("is_duplicate") & ~F.col("bare")).drop("bare")
+    bare = rows.filter("fp is null").select("doc_id", "k1", "k2", F.col("doc_id").alias("keeper_id"), F.lit(False).alias("is_duplicate"))
+    told = rows.filter("fp is not null").withColumn("node", node).join(roots, "node", "left").select("doc_id", "k1", "k2", "token", F.coalesce("root", "node").alias("root"))
+    told = common.stash(told, "told")
+    # a group's keeper is an aggregate, which no size of a group can crowd into one task
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), "k1", "k2", F.col("token").alias("t")))
+    keepers = told.groupBy("root").agg(first.alias("f")).select("root", F.col("f.i").alias("keeper_id"), F.col("f.t").alias("t"))
+    return told.join(keepers, "root").select("doc_id", "k1", "k2", "keeper_id", (F.col("token") != F.col("t")).alias("is_duplicate")).unionByName(bare)
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, pair_radius: int = PAIR_RADIUS) -> DataFrame:
     """doc_id, keeper_id and is_duplicate, a row for every row of ``df``.
 
-    The keeper is the group's smallest identifier; exactly one row of a group is no duplicate. Words are compared
-    without case and punctuation. Null texts and texts without words are nobody's copies and keep themselves. Null
+    The keeper is the group's smallest identifier; exactly one row of a group is no duplicate. Identifiers are whole
+    numbers of 64 bits. Words are compared without case and punctuation. Null texts and texts without words are nobody's copies and keep themselves. Null
     identifiers order last. Repeated rows are copies of each other. Other columns are ignored. No rows give no rows.
     """
     return _verdicts(df, id_col, text_col, reach, pair_radius).select("doc_id", "keeper_id", "is_duplicate")
@@ -293,14 +412,19 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Of rows that have the same identifier and the same text, one stays; if they have no words, all stay.
     """
     own = ["__near_k1", "__near_k2"]
-    kept = _verdicts(df, id_col, text_col, reach, pair_radius).filter("not is_duplicate")
-    kept = common.stash(kept.groupBy(F.col("k1").alias(own[0]), F.col("k2").alias(own[1])).agg(F.count(F.lit(1)).alias("__near_n")), "kept")
+    told = _verdicts(df, id_col, text_col, reach, pair_radius)
+    counts = told.groupBy(F.col("k1").alias(own[0]), F.col("k2").alias(own[1])).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_duplicate")).alias("stay"))
+    counts = common.stash(counts.filter("stay > 0"), "kept")
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     k1 = F.xxhash64(i.isNull(), i, t.isNull(), t)
     k2 = F.xxhash64(F.lit("k2"), t, t.isNull(), i, i.isNull())
-    rows = df.withColumns({own[0]: k1, own[1]: k2}).join(kept, own)
-    place = F.row_number().over(Window.partitionBy(*own).orderBy(own[0]))
-    return rows.withColumn("__near_place", place).filter("__near_place <= __near_n").select(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.withColumns({own[0]: k1, own[1]: k2})
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    whole = rows.join(counts.filter("n = stay").select(*own), own, "left_semi").select(*columns)
+    # of repeated rows one stays: an aggregate too, over the few rows that are such
+    repeated = common.stash(counts.filter("n > stay").select(*own), "repeated")
+    one = rows.join(repeated, own, "left_semi").groupBy(*own).agg(F.first(F.struct(*columns)).alias("__near_row")).select("__near_row.*")
+    return whole.unionByName(one)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
+import pandas as pd
 from conftest_llm import ODD, SF, clash, rows
 
 from lodestore.llm import near_dedup as nd
@@ -176,3 +178,112 @@ def test_odd(spark, odd, none):
     assert kept.count() == flags
     whole = spark.read.parquet(f"{SF}/documents.parquet")
     assert rows(nd.drop_near_copies(whole).select("doc_id")) == rows(nd.near_copies(whole).filter("not is_duplicate").select("doc_id"))
+
+
+def accepted(fp, reach, pair_radius):
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).astype(int)
+    return np.argwhere((d[..., :2].sum(2) <= reach) & (d[..., 2:].sum(2) <= pair_radius))
+
+
+def joined(n, links):
+    parent = list(range(n))
+    for i, j in links:
+        assert (a := find(parent, i)) != (b := find(parent, j)), "no forest"
+        parent[a] = b
+    return [find(parent, i) for i in range(n)]
+
+
+def cluster(rng, n, centres, spread, words):
+    base = rng.integers(0, 2**63, (centres, words)).astype(np.uint64)
+    fp = base[rng.integers(0, centres, n)]
+    for _ in range(spread):
+        fp = fp ^ np.where(rng.random(fp.shape) < 0.7, np.uint64(1) << rng.integers(0, 64, fp.shape).astype(np.uint64), np.uint64(0))
+    return np.unique(fp, axis=0)
+
+
+def test_a_large_bucket_is_joined_by_all_its_near_pairs():
+    rng = np.random.default_rng(7)
+    kinds = [cluster(rng, 700, c, s, w) for c, s, w in ((1, 4, 4), (3, 9, 4), (30, 6, 4), (700, 0, 4), (2, 5, 2), (1, 12, 2))]
+    # the same words in other orders: one fingerprint, word pairs in clusters
+    same = cluster(rng, 500, 12, 8, 4)
+    same[:, :2] = same[0, :2]
+    for fp in [*kinds, same]:
+        for first in (0, 1):
+            links = nd._forest(fp, first, 22, 34)
+            near = {tuple(x) for x in accepted(fp, 22, 34).tolist()}
+            assert {tuple(x) for x in links.tolist()} <= near
+            group = joined(len(fp), links)
+            assert all(group[i] == group[j] for i, j in near)
+
+
+def test_a_hot_key_takes_bounded_time():
+    rng = np.random.default_rng(8)
+    half, mask = nd.TABLES[100]
+    took = []
+    for n in (16_000, 300_000):
+        fp = cluster(rng, n, 40, 4, 4)
+        fp[:, half] &= ~mask
+        began = time.time()
+        links = nd.linked(fp, half, mask, 22)
+        took.append(time.time() - began)
+        assert len(links) >= len(np.unique(fp, axis=0)) - 40 - n // 100
+    assert took[1] < 60, took
+    fp = rng.integers(0, 2**63, (16_000, 4)).astype(np.uint64)
+    fp[:, half] &= ~mask
+    began = time.time()
+    assert len(nd.linked(fp, half, mask, 22)) == 0 and time.time() - began < 10
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 40)
+    monkeypatch.setattr(nd, "PART_BYTES", 4000)
+    rng = np.random.default_rng(9)
+    fp = np.unique(np.concatenate([cluster(rng, 500, 1, 1, 4), cluster(rng, 200, 2, 4, 4), rng.integers(0, 2**63, (100, 4)).astype(np.uint64)]), axis=0)
+    df = spark.createDataFrame(pd.DataFrame(fp.view(np.int64), columns=["x", "y", "v1", "v2"])).coalesce(1)
+    assert nd._hot(df.select("x", "y"), 4, len(fp))
+    index = {tuple(x): i for i, x in enumerate(fp.view(np.int64).tolist())}
+    links = [(index[tuple(r.a)], index[tuple(r.b)]) for r in nd.near_links(df, 22, 34).collect()]
+    parent = list(range(len(fp)))
+    for i, j in links:
+        parent[find(parent, i)] = find(parent, j)
+    near = accepted(fp, 22, 34).tolist()
+    for i, j in near:
+        d = np.bitwise_count(fp[i, :2] ^ fp[j, :2]).sum()
+        assert d > nd.RADIUS or find(parent, i) == find(parent, j)
+    assert {(i, j) for i, j in links} <= {tuple(x) for x in near} and len(near) > 1000
+
+
+def test_permuted_bags_of_words(spark):
+    rng = random.Random(11)
+    docs, n = [], 0
+    for _ in range(6):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+        for k in range(12):
+            t = rng.sample(words, len(words)) if k % 3 == 0 else t[:]  # noqa: F821
+            if k % 3:
+                t[rng.randrange(len(t))] = "edit"
+            docs.append((n := n + 1, " ".join(t)))
+    keeper = {r.doc_id: r.keeper_id for r in nd.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    prints = {i: nd.fingerprint(hashes(t)) for i, t in docs}
+    pairs = 0
+    for a, b in itertools.combinations(prints, 2):
+        if apart(prints[a][2:], prints[b][2:]) <= nd.PAIR_RADIUS and apart(prints[a][:2], prints[b][:2]) <= nd.RADIUS:
+            assert keeper[a] == keeper[b]
+            pairs += 1
+    assert pairs > 30
+
+
+def test_many_copies_of_a_word_weigh_by_their_number():
+    words = np.repeat(np.array([1, 2, 3], np.uint64), [70_000, 700_000, 3])
+    seen, n = np.unique(words, return_counts=True)
+    assert nd.fingerprint(words)[0] == nd._bits(seen, np.round(64 * (1 + 2 * np.log(n))))
+
+
+def test_repeated_rows_and_a_hot_group(spark):
+    docs = [(i, f"the very same text number of words and more {'x' if i % 7 else 'y'}", i) for i in range(400)] * 3 + [(7, "alone in the world of words", 1), (7, "alone in the world of words", 2), (8, "!", 1), (8, "!", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, extra long")
+    got = nd.near_copies(df)
+    assert got.count() == len(docs)
+    kept = sorted((r.doc_id, r.keeper_id) for r in got.filter("not is_duplicate").collect())
+    assert kept[-3:] == [(7, 7), (8, 8), (8, 8)] and len(kept) in (4, 5)
+    assert sorted(r.doc_id for r in nd.drop_near_copies(df).collect()) == [i for i, _ in kept]
