@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore import formats, schema
 from lodestore.functions import objects, oid
 from lodestore.operators import delta, lookup
 from lodestore.session import configure
+from lodestore.sources.reader import StoreReader
 
 
 def find_store(path: str) -> str:
@@ -34,9 +39,9 @@ class ObjectDB:
         if not os.path.isdir(self.path):
             raise FileNotFoundError(f"no object store: {path}")
 
-    def scan(self, kind: str, prefix: str | None = None, packs: list[str] | None = None) -> DataFrame:
-        """A table of the source; a prefix or packs leave files and stretches of indexes out that can't match."""
-        less = ({"prefix": oid.check_prefix(prefix)} if prefix else {}) | ({"packs": ",".join(packs)} if packs is not None else {})
+    def scan(self, kind: str, prefix: str | None = None, packs: list[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
+        """A table of the source; a prefix, packs or types leave out what can't match before it is read."""
+        less = ({"prefix": oid.check_prefix(prefix)} if prefix else {}) | ({"packs": ",".join(packs)} if packs is not None else {}) | ({"types": ",".join(types)} if types is not None else {})
         df = self.spark.read.format("objectdb").options(path=self.path, kind=kind, mode=self.mode, **less).load()
         df = df.filter(oid.matches(F.col("oid"), prefix)) if prefix else df
         return df.filter(F.col("pack_id").isin(packs)) if packs is not None else df
@@ -67,44 +72,119 @@ class ObjectDB:
         """All ids, copies included."""
         return self.loose_ids().select("oid").union(self.entries().select("oid"))
 
-    def objects(self, ids: DataFrame | None = None) -> DataFrame:
-        """Every object once, or those in ``ids``: loose before packed, then the lowest pack."""
-        loose, places = self.scan("loose"), self.locations()
-        if ids is not None:
-            loose, places = lookup.select_ids(loose, ids), lookup.select_ids(places, ids)
-        return self._objects(loose, places, self.resolved(), ids)
+    def kinds(self) -> DataFrame:
+        """oid and type of every object once, from headers alone."""
+        return self.scan("loose_headers").select("oid", "type").unionByName(self.resolved().select("oid", "type")).distinct()
 
-    def _objects(self, loose: DataFrame, places: DataFrame, resolved: DataFrame, ids: DataFrame | None) -> DataFrame:
+    def objects(self, types: Sequence[str] | None = None) -> DataFrame:
+        """Every object once, or those of ``types``, of which alone payloads are inflated: loose before packed, then the lowest pack."""
         none = lambda t: F.lit(None).cast(t)
-        packed = lookup.first_match(places).filter("store = 'packed'").select("oid", "pack_id", "offset")
-        loose = loose.select("oid", "type", "size", "payload", F.lit("loose").alias("store"), "path", none("string").alias("pack_id"), none("bigint").alias("offset"))
-        found = delta.contents(resolved, ids).join(packed, ["oid", "pack_id", "offset"], "left_semi")
+        resolved = self.resolved()
+        if types is not None:
+            resolved = resolved.filter(F.col("type").isin(*types))
+        packed = lookup.first_match(self.locations()).filter("store = 'packed'").select("oid", "pack_id", "offset")
+        loose = self.scan("loose", types=types).select("oid", "type", "size", "payload", F.lit("loose").alias("store"), "path", none("string").alias("pack_id"), none("bigint").alias("offset"))
+        found = delta.contents(resolved).join(packed, ["oid", "pack_id", "offset"], "left_semi")
         found = found.select("oid", "type", "size", "payload", F.lit("packed").alias("store"), oid.pack_path(self.path, F.col("pack_id")).alias("path"), "pack_id", "offset")
         return loose.unionByName(found)
 
-    def get(self, prefix: str) -> DataFrame:
-        """The one object with a prefix; Missing or Ambiguous otherwise. Only its folder, or its packs, are read."""
-        one = lookup.resolve(self.locations(prefix), prefix)
-        own = [r.pack_id for r in self.entries(one).select("pack_id").distinct().collect()]
-        ids = self.spark.createDataFrame([(one,)], "oid string")
-        return self._objects(self.scan("loose", one), self.locations(one), self.resolved(own), ids)
+    def _read(self, ids: DataFrame, each: Callable[[StoreReader, str], Iterator[tuple]], schema: str) -> DataFrame:
+        """Rows of ``each`` for every id, read where they are."""
+        root, permissive = self.path, self.mode.upper() == "PERMISSIVE"
+        types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+        fields = [f.split() for f in schema.split(", ")]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*rows, strict=True) if rows else [[]] * len(fields)
+            return pa.record_batch([pa.array(list(c), types[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, rows, size = StoreReader(root), [], 0
+            try:
+                for name in (x for b in batches for x in b.column(0).to_pylist()):
+                    try:
+                        for row in each(reader, name):
+                            rows.append(row)
+                            size += sum(len(x) for x in row if isinstance(x, bytes))
+                            if size > delta.BATCH_BYTES or len(rows) > 4096:
+                                yield batch(rows)
+                                rows, size = [], 0
+                    except formats.Corrupt:
+                        if not permissive:
+                            raise
+                yield batch(rows)
+            finally:
+                reader.close()
+
+        return ids.select("oid").filter(F.col("oid").rlike("^[0-9a-f]{40}$")).mapInArrow(run, schema)
+
+    def fetch(self, ids: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+        """The objects in ``ids`` (column oid), each once; ids of no object, or of none of ``types``, have no row.
+
+        Each is looked up by fanout and bisection, and of its pack only the chain that it is made of is read.
+        """
+        wanted = None if types is None else frozenset(types)
+
+        def one(reader: StoreReader, name: str) -> Iterator[tuple]:
+            if found := reader.read(name, wanted):
+                yield found
+
+        return self._read(ids.select("oid").distinct(), one, schema.OBJECTS)
+
+    def history(self, heads: DataFrame, limit: int) -> DataFrame:
+        """head, depth, oid and payload of the first ``limit`` commits from each of ``heads`` (oid) along first parents.
+
+        No other object is read. A parent that the store doesn't have ends a history.
+        """
+
+        def walk(reader: StoreReader, head: str) -> Iterator[tuple]:
+            name = head
+            for depth in range(limit):
+                found = reader.read(name, frozenset(["commit"]))
+                if found is None:
+                    return
+                yield head, depth, name, found.payload
+                above = re.search(rb"^parent ([0-9a-f]{40})$", found.payload.partition(b"\n\n")[0], re.M)
+                if above is None:
+                    return
+                name = above[1].decode()
+
+        return self._read(heads, walk, "head string, depth bigint, oid string, payload binary")
+
+    def one(self, prefix: str) -> DataFrame:
+        """A row with the id of the one object with a prefix; Missing or Ambiguous otherwise."""
+        return self.spark.createDataFrame([(lookup.resolve(self.locations(prefix), prefix),)], "oid string")
+
+    def get(self, prefix: str, types: Sequence[str] | None = None) -> DataFrame:
+        """The one object with a prefix; Missing or Ambiguous otherwise. Only its folder, bucket and chain are read."""
+        return self.fetch(self.one(prefix), types)
+
+    def _checked(self, found: DataFrame, wrong: Column) -> DataFrame:
+        """``found`` where ``wrong`` is null; elsewhere an error, or no row if damage is skipped."""
+        if self.mode.upper() == "PERMISSIVE":
+            return found.filter(wrong.isNull())
+        return found.withColumn("payload", F.when(wrong.isNull(), F.col("payload")).otherwise(F.raise_error(F.concat("oid", F.lit(": "), wrong)).cast("binary")))
 
     def commits(self, preset: str = "full") -> DataFrame:
-        return self.objects().filter("type = 'commit'").select("oid", *objects.parse_commit(F.col("payload"), preset))
+        found = self._checked(self.objects(["commit"]), objects.commit_error(F.col("payload")))
+        return found.select("oid", *objects.parse_commit(F.col("payload"), preset))
 
     def commit_parents(self) -> DataFrame:
         return self.commits("parents").select("oid", F.posexplode("parents").alias("pos", "parent"))
 
-    def tree_entries(self) -> DataFrame:
-        entries = self.objects().filter("type = 'tree'").select(F.col("oid").alias("tree_oid"), F.posexplode(objects.parse_tree(F.col("payload"))).alias("pos", "e"))
+    def tree_entries(self, ids: DataFrame | None = None) -> DataFrame:
+        """The entries of every tree, or of those in ``ids`` (column tree_oid); a tree that is not entries to its end is an error."""
+        found = self.objects(["tree"]) if ids is None else self.fetch(ids.select(F.col("tree_oid").alias("oid")), ["tree"])
+        found = self._checked(found, objects.tree_error(F.col("payload")))
+        entries = found.select(F.col("oid").alias("tree_oid"), F.posexplode(objects.parse_tree(F.col("payload"))).alias("pos", "e"))
         mode = objects.tree_mode(F.col("e.mode_raw"))
         return entries.select("tree_oid", "pos", mode.alias("mode"), objects.mode_kind(mode).alias("kind"), objects.utf8_lossy(F.col("e.name_raw")).alias("name"), "e.oid", "e.mode_raw", "e.name_raw")
 
     def blobs(self) -> DataFrame:
-        return self.objects().filter("type = 'blob'").select("oid", "size", F.col("payload").alias("content"), objects.utf8_lossy(F.col("payload")).alias("text"))
+        return self.objects(["blob"]).select("oid", "size", F.col("payload").alias("content"), objects.utf8_lossy(F.col("payload")).alias("text"))
 
     def tags(self) -> DataFrame:
-        return self.objects().filter("type = 'tag'").select("oid", *objects.parse_tag(F.col("payload")))
+        return self.objects(["tag"]).select("oid", *objects.parse_tag(F.col("payload")))
 
     def verify(self) -> DataFrame:
         """oid, store, pack_id, id_holds and crc_holds (null where no checksum is stored) of every object once."""

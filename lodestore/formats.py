@@ -6,8 +6,10 @@ Written from the public descriptions of the formats; both directions, since quer
 from __future__ import annotations
 
 import hashlib
+import mmap
 import struct
 import zlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +54,19 @@ def decode_loose(data: bytes) -> tuple[str, bytes]:
     return kind, raw[start:]
 
 
+#: Bytes of a loose object that hold its header, deflated.
+LOOSE_HEAD = 512
+
+
+def read_loose(path: str, types: frozenset[str] | None = None) -> tuple[str, bytes] | None:
+    """(type, payload) of the file; None for another type, of which only the head is read."""
+    with open(path, "rb") as f:
+        data = f.read(LOOSE_HEAD)
+        if types is not None and loose_header(data)[0] not in types:
+            return None
+        return decode_loose(data + f.read())
+
+
 def loose_header(data: bytes) -> tuple[str, int]:
     """(type, size) from the first bytes alone."""
     try:
@@ -114,10 +129,64 @@ def read_index(f, lo: int = 0, hi: int | None = None) -> Index:
     far = np.flatnonzero(offsets >> 31)
     if len(far):
         places = offsets[far] & 0x7FFFFFFF
-        offsets[far] = column(1032 + 28 * total, ">u8", 0, int(places.max()) + 1).astype(np.int64)[places]
+        first = int(places.min())
+        offsets[far] = column(1032 + 28 * total, ">u8", first, int(places.max()) + 1 - first).astype(np.int64)[places - first]
     return Index(2, fanout, _hex(ids), crc, offsets)
 
 
+class IndexMap:
+    """A mapped index in which single ids are looked up: the fanout leaves a bucket, which is bisected."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.version, self.fanout = index_head(f)
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        self.total = int(self.fanout[255])
+        self.at, self.width, self.skip = (1024, 24, 4) if self.version == 1 else (1032, 20, 0)
+        if len(self.map) < self.at + self.total * (24 if self.version == 1 else 28) + 40:
+            raise Corrupt("the index is short")
+
+    def id(self, pos: int) -> bytes:
+        at = self.at + pos * self.width + self.skip
+        return self.map[at : at + 20]
+
+    def bisect(self, raw: bytes) -> int:
+        """The first position with an id of at least ``raw``, which has 20 bytes."""
+        lo, hi = int(self.fanout[raw[0] - 1]) if raw[0] else 0, int(self.fanout[raw[0]])
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.id(mid) < raw:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def bounds(self, low: str, high: str) -> tuple[int, int]:
+        """Positions from ``low`` to ``high``, hexadecimal, ends included; shorter ones are filled up."""
+        lo = self.bisect(bytes.fromhex(low[:40].ljust(40, "0")))
+        top = bytes.fromhex(high[:40].ljust(40, "f"))
+        hi = self.bisect(top)
+        while hi < self.total and self.id(hi) == top:
+            hi += 1
+        return lo, hi
+
+    def offset(self, pos: int) -> int:
+        if self.version == 1:
+            return int.from_bytes(self.map[1024 + 24 * pos : 1028 + 24 * pos], "big")
+        base = 1032 + 24 * self.total
+        near = int.from_bytes(self.map[base + 4 * pos : base + 4 * pos + 4], "big")
+        if not near >> 31:
+            return near
+        at = base + 4 * self.total + 8 * (near & 0x7FFFFFFF)
+        return int.from_bytes(self.map[at : at + 8], "big")
+
+    def find(self, oid: str) -> int | None:
+        """The offset of an object in the pack."""
+        raw = bytes.fromhex(oid)
+        pos = self.bisect(raw)
+        return self.offset(pos) if pos < self.total and self.id(pos) == raw else None
+
+
 def _hex(raw: bytes) -> list[str]:
     text = raw.hex()
     return [text[i : i + 40] for i in range(0, len(text), 40)]
@@ -152,6 +221,52 @@ def pack_head(data: bytes) -> tuple[int, int]:
     return version, n
 
 
+def encode_entry_headers(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The headers of many base entries as rows of ten bytes, and how many of these each one takes."""
+    out, left = np.zeros((len(sizes), 10), np.uint8), sizes >> 4
+    out[:, 0] = numbers << 4 | sizes & 15
+    length = np.ones(len(sizes), np.int64)
+    for k in range(1, 10):
+        more = left > 0
+        out[more, k - 1] |= 128
+        out[:, k] = np.where(more, left & 127, 0)
+        length += more
+        left = left >> 7
+    return out, length
+
+
+def entry_headers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(type number, size, length) of many headers, rows of at least ten bytes each."""
+    size, length, go = (raw[:, 0] & 15).astype(np.int64), np.ones(len(raw), np.int64), raw[:, 0] >> 7 == 1
+    for k in range(1, 10):
+        size |= np.where(go, (raw[:, k] & 127).astype(np.int64) << (7 * k - 3), 0)
+        length += go
+        go = go & (raw[:, k] >> 7 == 1)
+    return raw[:, 0] >> 4 & 7, size, length
+
+
+def encode_offset_varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Many offsets as rows of ten bytes, right-aligned, and how many of these each one takes."""
+    out, length, left = np.zeros((len(values), 10), np.uint8), np.ones(len(values), np.int64), values >> 7
+    out[:, 9] = values & 127
+    for k in range(8, -1, -1):
+        more = left > 0
+        left = np.where(more, left - 1, 0)
+        out[:, k] = np.where(more, left & 127 | 128, 0)
+        length += more
+        left = left >> 7
+    return out, length
+
+
+def offset_varints(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The values of rows as ``encode_offset_varints`` makes them."""
+    value = np.zeros(len(raw), np.int64)
+    for k in range(10):
+        own, first = length >= 10 - k, length == 10 - k
+        value = np.where(own, np.where(first, 0, value + 1 << 7) | (raw[:, k] & 127), value)
+    return value
+
+
 class Entry(NamedTuple):
     kind: str
     size: int
@@ -222,7 +337,33 @@ def inflate(data: bytes, size: int) -> bytes:
     return out
 
 
-def encode_pack(entries: list[tuple[str, bytes, int | str | None]], version: int = 2) -> tuple[bytes, list[int], list[int]]:
+def inflate_at(f, start: int, size: int) -> tuple[bytes, int]:
+    """(payload, where its stream ends) of the stream at ``start`` of an open file; it is read until it ends, no further."""
+    z, out, at = zlib.decompressobj(), [], start
+    f.seek(start)
+    try:
+        while not z.eof:
+            data = f.read(min(1 << 20, size + 256))
+            if not data:
+                raise Corrupt("the entry is short")
+            out.append(z.decompress(data))
+            at += len(data)
+    except zlib.error as e:
+        raise Corrupt(f"not inflatable: {e}") from None
+    payload = b"".join(out)
+    if len(payload) != size:
+        raise Corrupt("the entry is not as long as declared")
+    return payload, at - len(z.unused_data)
+
+
+def stored(data: bytes) -> bytes:
+    """A zlib stream of stored blocks, whose size follows from that of ``data``."""
+    parts = [data[i : i + 65535] for i in range(0, len(data), 65535)] or [b""]
+    blocks = [struct.pack("<BHH", i + 1 == len(parts), len(p), len(p) ^ 0xFFFF) + p for i, p in enumerate(parts)]
+    return b"\x78\x01" + b"".join(blocks) + struct.pack(">I", zlib.adler32(data))
+
+
+def encode_pack(entries: list[tuple[str, bytes, int | str | None]], version: int = 2, deflate: Callable[[bytes], bytes] = zlib.compress) -> tuple[bytes, list[int], list[int]]:
     """(pack, offsets, checksums) of (kind, data, base): for deltas, base is the place of an earlier entry or an id."""
     out, offsets, sums = bytearray(PACK_MAGIC + struct.pack(">II", version, len(entries))), [], []
     for kind, data, base in entries:
@@ -231,7 +372,7 @@ def encode_pack(entries: list[tuple[str, bytes, int | str | None]], version: int
             raw += encode_offset_varint(len(out) - offsets[base])
         elif kind == "ref_delta":
             raw += bytes.fromhex(base)
-        raw += zlib.compress(data)
+        raw += deflate(data)
         offsets.append(len(out))
         sums.append(zlib.crc32(raw))
         out += raw

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from lodestore import formats
 from lodestore.operators import graph
 from lodestore.session import stash
 
+#: Bytes of payload in one batch.
+BATCH_BYTES = 8 << 20
 CONTENT = "oid string, type string, size bigint, payload binary, pack_id string, offset bigint"
 
 
@@ -26,7 +29,7 @@ def pointers(headers: DataFrame) -> DataFrame:
 
 
 def resolve(headers: DataFrame) -> DataFrame:
-    """``headers`` with type, depth, root_offset, base_oid and size_in_pack; no payload is read.
+    """``headers`` with type, depth, root_offset and base_oid; no payload is read.
 
     Chains may mix both kinds of delta. One that leads to itself is a Circle.
     """
@@ -36,86 +39,72 @@ def resolve(headers: DataFrame) -> DataFrame:
     chains = chains.select(F.col("node.pack_id").alias("pack_id"), F.col("node.offset").alias("offset"), F.col("root.offset").alias("root_offset"), "depth")
     root = at.select("pack_id", F.col("offset").alias("root_offset"), F.col("phys_type").alias("type"))
     base = at.select("pack_id", F.col("offset").alias("base_at"), F.col("oid").alias("base_oid"))
-    out = at.join(chains, ["pack_id", "offset"]).join(root, ["pack_id", "root_offset"]).join(base, ["pack_id", "base_at"], "left")
-    return out.withColumn("size_in_pack", F.col("end_offset") - F.col("offset"))
+    return at.join(chains, ["pack_id", "offset"]).join(root, ["pack_id", "root_offset"]).join(base, ["pack_id", "base_at"], "left")
 
 
-def rebuild(rows: list[dict], read: Callable[[int, int], bytes], wanted: set[int]) -> dict[int, bytes]:
-    """Payloads of the wanted offsets of one family; each entry on their way is inflated once.
+def rebuild(rows: list[dict], read: Callable[[int, int], bytes]) -> Iterator[tuple[dict, bytes]]:
+    """(row, payload) of each entry of one family, of which each is inflated once, bases first.
 
-    An entry's payload is held until its last user has been rebuilt.
+    ``read`` gives the payload at a place of the pack. An entry's payload is held until its last user has been rebuilt.
     """
-    by = {r["offset"]: r for r in rows}
-    needed: dict[int, int] = {}
-    for offset in wanted:
-        while offset not in needed:
-            needed[offset] = 0
-            if (base := by[offset]["base_at"]) is None:
-                break
-            offset = base
-    for offset in needed:
-        if (base := by[offset]["base_at"]) is not None:
-            needed[base] += 1
-    held, out = {}, {}
-    for offset in sorted(needed, key=lambda x: (by[x]["depth"], x)):
-        r = by[offset]
-        data = formats.inflate(read(r["data_start"], r["end_offset"]), r["inflated_size"])
-        if (base := r["base_at"]) is not None:
+    users = Counter(r["base_at"] for r in rows if r["base_at"] is not None)
+    held = {}
+    for r in sorted(rows, key=lambda r: (r["depth"], r["offset"])):
+        data, base = read(r["data_start"], r["inflated_size"]), r["base_at"]
+        if base is not None:
             data = formats.apply_delta(held[base], data)
-            needed[base] -= 1
-            if not needed[base]:
+            users[base] -= 1
+            if not users[base]:
                 del held[base]
-        if needed[offset]:
-            held[offset] = data
-        if offset in wanted:
-            out[offset] = data
-    return out
+        if users[r["offset"]]:
+            held[r["offset"]] = data
+        yield r, data
 
 
-def contents(resolved: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The objects of packs; with ``ids``, those alone, and of their families only what they are made of.
+def contents(resolved: DataFrame) -> DataFrame:
+    """The objects of packs.
 
-    Families are independent, so a pack is rebuilt by many tasks; each reads byte ranges of the pack. Rows that are
-    shuffled have places, not bytes.
+    Families are independent, so a pack is rebuilt by many tasks; each reads stretches of the pack and gives what it has
+    rebuilt a batch at a time. Rows that are shuffled have places, not bytes. A family has one type, so a filter by type
+    on ``resolved`` keeps all others from being inflated.
     """
-    rows = resolved.withColumn("wanted", F.lit(True))
-    if ids is not None:
-        asked = ids.select("oid").distinct().withColumn("asked", F.lit(True))
-        rows = resolved.join(asked, "oid", "left").withColumn("wanted", F.coalesce("asked", F.lit(False)))
-        families = rows.filter("wanted").select("pack_id", "root_offset").distinct()
-        rows = rows.join(families, ["pack_id", "root_offset"], "left_semi")
-    rows = rows.select("pack_id", "root_offset", "oid", "type", "offset", "data_start", "end_offset", "inflated_size", "base_at", "depth", "pack_path", "wanted")
-
-    def family(group: pa.Table) -> pa.Table:
-        members = group.to_pylist()
+    rows = resolved.select("pack_id", "root_offset", "oid", "type", "offset", "data_start", "inflated_size", "base_at", "depth", "pack_path")
+
+    def family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = [r for b in batches for r in b.to_pylist()]
         with open(members[0]["pack_path"], "rb") as f:
+            out, size = [], 0
+            for r, data in rebuild(members, lambda start, n: formats.inflate_at(f, start, n)[0]):
+                out.append((r["oid"], r["type"], len(data), data, r["pack_id"], r["offset"]))
+                size += len(data)
+                if size > BATCH_BYTES:
+                    yield _contents(out)
+                    out, size = [], 0
+            yield _contents(out)
 
-            def read(start: int, end: int) -> bytes:
-                f.seek(start)
-                return f.read(end - start)
+    return rows.groupBy("pack_id", "root_offset").applyInArrow(family, CONTENT)
 
-            found = rebuild(members, read, {r["offset"] for r in members if r["wanted"]})
-        own = [r for r in members if r["offset"] in found]
-        cols = {"oid": [r["oid"] for r in own], "type": [r["type"] for r in own], "size": [len(found[r["offset"]]) for r in own], "payload": [found[r["offset"]] for r in own], "pack_id": [r["pack_id"] for r in own], "offset": [r["offset"] for r in own]}
-        types = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols.values(), types, strict=True)], names=list(cols))
 
-    return rows.groupBy("pack_id", "root_offset").applyInArrow(family, CONTENT)
+def _contents(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * 6
+    types = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+    return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in CONTENT.split(", ")])
 
 
 def raw_checksums(headers: DataFrame) -> DataFrame:
-    """``headers`` with stored_crc32: of each entry's bytes as they stand in the pack."""
+    """``headers`` with stored_crc32: of each entry's bytes as they stand in the pack, to where its stream ends."""
 
     def run(batches):
         for b in batches:
             sums, opened, name = [], None, None
-            for path, start, end in zip(*(b.column(c).to_pylist() for c in ("pack_path", "offset", "end_offset")), strict=True):
+            for path, at, start, size in zip(*(b.column(c).to_pylist() for c in ("pack_path", "offset", "data_start", "inflated_size")), strict=True):
                 if path != name:
                     if opened:
                         opened.close()
-                    opened, name = open(path, "rb"), path
-                opened.seek(start)
-                sums.append(zlib.crc32(opened.read(end - start)))
+                    opened, name = open(path, "rb"), path  # noqa: SIM115
+                end = formats.inflate_at(opened, start, size)[1]
+                opened.seek(at)
+                sums.append(zlib.crc32(opened.read(end - at)))
             if opened:
                 opened.close()
             yield pa.record_batch([*b.columns, pa.array(sums, pa.int64())], names=[*b.schema.names, "stored_crc32"])

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.session import stash
+from lodestore.session import drop, stash
+from lodestore.sources.reader import Circle
 
 #: Rounds after which a chain has to be a circle: 2 ** 40 levels.
 ROUNDS = 40
 
 
-class Circle(ValueError):
-    """Edges that lead back to themselves."""
-
-
 def chain(edges: DataFrame, heads: DataFrame, limit: int | None = None) -> DataFrame:
     """(head, node, depth): what each head leads to by edges (node, parent), itself at depth 0.
 
@@ -33,7 +32,9 @@ def chain(edges: DataFrame, heads: DataFrame, limit: int | None = None) -> DataF
         if found.own:
             raise Circle("a node is its own ancestor")
         reach = reach.unionByName(more)
+        last = jump
         jump = stash(jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.node")).select("a.node", "b.parent"), "jump")
+        drop(last)
     else:
         raise Circle("a chain does not end")
     return reach if limit is None else reach.filter(F.col("depth") < limit)
@@ -46,26 +47,28 @@ def roots(edges: DataFrame) -> DataFrame:
     for _ in range(at.count().bit_length() + 1):
         ahead = at.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         met = at.join(ahead, "root", "left")
+        last = at
         at = stash(met.select("node", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), "roots")
         found = at.agg(F.count_if("moved").alias("moved"), F.count_if((F.col("node") == F.col("root")) & (F.col("depth") > 0)).alias("own")).first()
-        at = at.drop("moved")
+        drop(last)
         if found.own:
             raise Circle("a node is its own ancestor")
         if not found.moved:
-            return at
+            return at.drop("moved")
     raise Circle("a chain does not end")
 
 
-def descend(entries: DataFrame, start: DataFrame) -> DataFrame:
+def descend(entries: Callable[[DataFrame], DataFrame], start: DataFrame) -> DataFrame:
     """(root, oid, path) of every blob below the trees in ``start`` (column root), level by level.
 
-    ``entries`` are (tree_oid, kind, name, oid). Trees are as deep as paths are, so rounds are few; each joins only the
-    trees found last. Submodules are not followed.
+    ``entries`` gives the entries (tree_oid, kind, name, oid) of the trees that it is handed, each once (tree_oid). Trees
+    are as deep as paths are, so rounds are few; each asks for the trees found last, and those alone. Submodules are not
+    followed.
     """
     level = start.select("root", F.col("root").alias("tree_oid"), F.lit("").alias("path"))
     found = None
     while True:
-        inner = level.join(entries, "tree_oid").select("root", "kind", "oid", F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("/"), F.col("name")).alias("path"))
+        inner = level.join(entries(level.select("tree_oid").distinct()), "tree_oid").select("root", "kind", "oid", F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("/"), F.col("name")).alias("path"))
         inner = stash(inner, "walk")
         blobs = inner.filter("kind = 'blob'").select("root", "oid", "path")
         found = blobs if found is None else found.unionByName(blobs)

@@ -46,7 +46,33 @@ def bucket_report(ids: DataFrame, bits: int = 8) -> DataFrame:
     return ids.groupBy(O.bucket(F.col("oid"), bits).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("objects"))
 
 
-def size_in_pack(entries: DataFrame) -> DataFrame:
-    """``entries`` (pack_id, offset, pack_size) with size_in_pack: up to the next entry, the last up to the trailer."""
-    after = F.lead("offset").over(Window.partitionBy("pack_id").orderBy("offset"))
-    return entries.withColumn("size_in_pack", (F.coalesce(after, F.col("pack_size") - 20) - F.col("offset")).cast("bigint"))
+def table_report(ids: DataFrame, bits: int = 8) -> DataFrame:
+    """One row: objects, buckets (all 2 ** bits), how many are used, and the least, most and mean objects of a bucket."""
+    n = 1 << bits
+    least = F.when(F.count(F.lit(1)) < n, 0).otherwise(F.min("objects"))
+    found = bucket_report(ids, bits).agg(F.coalesce(F.sum("objects"), F.lit(0)).alias("objects"), F.count(F.lit(1)).alias("used"), least.cast("bigint").alias("least"), F.coalesce(F.max("objects"), F.lit(0)).alias("most"))
+    return found.select("objects", F.lit(n).cast("bigint").alias("buckets"), "used", "least", "most", (F.col("objects") / n).alias("mean"))
+
+
+#: Bytes of a pack in which the entries are ordered by one task.
+STRETCH = 1 << 26
+
+
+def end_offsets(entries: DataFrame, packs: DataFrame) -> DataFrame:
+    """``entries`` (pack_id, offset) with end_offset: where the next entry of the pack begins, the last up to the trailer.
+
+    ``packs`` has pack_id and pack_size. Entries are ordered in stretches of a pack; what follows a stretch is in a table
+    of a row for each stretch.
+    """
+    cut = F.floor(F.col("offset") / STRETCH)
+    heads = entries.groupBy("pack_id", cut.alias("stretch")).agg(F.min("offset").alias("at"))
+    after = F.lead("at").over(Window.partitionBy("pack_id").orderBy("stretch"))
+    ends = heads.join(packs.select("pack_id", "pack_size"), "pack_id").select("pack_id", "stretch", F.coalesce(after, F.col("pack_size") - 20).alias("beyond"))
+    inner = F.lead("offset").over(Window.partitionBy("pack_id", "stretch").orderBy("offset"))
+    placed = entries.withColumn("stretch", cut).withColumn("inner", inner)
+    return placed.join(ends, ["pack_id", "stretch"]).withColumn("end_offset", F.coalesce("inner", "beyond").cast("bigint")).drop("stretch", "inner", "beyond")
+
+
+def size_in_pack(entries: DataFrame, packs: DataFrame) -> DataFrame:
+    """``entries`` with size_in_pack; see ``end_offsets``."""
+    return end_offsets(entries, packs).withColumn("size_in_pack", F.col("end_offset") - F.col("offset")).drop("end_offset")

@@ -10,11 +10,11 @@ from lodestore.functions import oid as O
 
 
 class Ambiguous(LookupError):
-    """A prefix of several objects; ``candidates`` has them in order."""
+    """A prefix of several objects: ``candidates`` has the first of them in order, ``every`` is a table of all."""
 
-    def __init__(self, prefix: str, candidates: list[str]):
+    def __init__(self, prefix: str, candidates: list[str], every: DataFrame | None = None):
         super().__init__(f"{prefix} is ambiguous: {', '.join(candidates)}")
-        self.candidates = candidates
+        self.candidates, self.every = candidates, every
 
 
 class Missing(LookupError):
@@ -32,12 +32,13 @@ def distinct_ids(locations: DataFrame, prefix: str) -> DataFrame:
 
 
 def resolve(locations: DataFrame, prefix: str, shown: int = 20) -> str:
-    """The one id with a prefix; Missing or Ambiguous (which lists the first ``shown``) if there isn't one."""
-    found = [r.oid for r in distinct_ids(locations, prefix).limit(shown).collect()]
+    """The one id with a prefix; Missing or Ambiguous (which shows the first ``shown`` and can list all) if there isn't one."""
+    every = distinct_ids(locations, prefix)
+    found = [r.oid for r in every.limit(shown).collect()]
     if not found:
         raise Missing(O.check_prefix(prefix))
     if len(found) > 1:
-        raise Ambiguous(prefix, found)
+        raise Ambiguous(prefix, found, every)
     return found[0]
 
 

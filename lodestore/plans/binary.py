@@ -6,11 +6,13 @@ import io
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore import formats
+from lodestore.operators import delta
 
 
 def _each(df: DataFrame, columns: list[str], schema: str, one: Callable[..., tuple]) -> DataFrame:
@@ -26,41 +28,68 @@ def _each(df: DataFrame, columns: list[str], schema: str, one: Callable[..., tup
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _bytes(text: str | None) -> bytes:
+    return b"" if text is None else text.encode()
+
+
 def loose_round_trip(df: DataFrame) -> DataFrame:
-    """Documents as compressed loose objects, inflated and split again."""
+    """Documents as compressed loose objects, inflated and split again; a null text is empty."""
 
-    def one(doc: int, text: str) -> tuple:
-        kind, payload = formats.decode_loose(formats.encode_loose("blob", text.encode(), 1))
+    def one(doc: int, text: str | None) -> tuple:
+        kind, payload = formats.decode_loose(formats.encode_loose("blob", _bytes(text), 1))
         return doc, kind, len(payload), payload
 
     return _each(df, ["doc_id", "text"], "doc_id bigint, type string, size bigint, payload binary", one).select("doc_id", "type", "size", F.sha1("payload").alias("sha"))
 
 
 def loose_headers(df: DataFrame) -> DataFrame:
-    """Type and size from the first bytes of compressed objects."""
-    return _each(df, ["doc_id", "text"], "doc_id bigint, type string, size bigint", lambda doc, text: (doc, *formats.loose_header(formats.encode_loose("blob", text.encode(), 1)[:512])))
+    """Type and size from the first bytes of compressed objects, of which no more is made than a reader asks for."""
+
+    def head(text: str | None) -> bytes:
+        raw = _bytes(text)
+        z = zlib.compressobj(1)
+        made = z.compress(f"blob {len(raw)}".encode() + b"\0" + raw[:1024])
+        return (made + z.flush(zlib.Z_SYNC_FLUSH))[: formats.LOOSE_HEAD]
+
+    return _each(df, ["doc_id", "text"], "doc_id bigint, type string, size bigint", lambda doc, text: (doc, *formats.loose_header(head(text))))
+
+
+def _columns(df: DataFrame, columns: list[str], schema: str, run_batch: Callable[..., list]) -> DataFrame:
+    """``run_batch`` over the columns of each batch, as numpy arrays; rows with a null have no result."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([pa.array(c) for c in run_batch(*(c.to_numpy() for c in b.columns))], names=names)
+
+    return df.select(*columns).dropna().mapInArrow(run, schema)
 
 
 def entry_headers(df: DataFrame) -> DataFrame:
-    """Entry headers of every type, by doc_id, with n_chars as the size."""
+    """Entry headers of every type, by doc_id, with n_chars as the size; encoded and read a batch at a time."""
     kinds = ("commit", "tree", "blob", "tag")
+    numbers = np.array([formats.NUMBERS[k] for k in kinds])
 
-    def one(doc: int, n: int) -> tuple:
-        e = formats.entry_header(formats.encode_entry_header(kinds[doc % 4], n), 12)
-        return doc, e.kind, e.size
+    def run(doc: np.ndarray, n: np.ndarray) -> list:
+        raw, length = formats.encode_entry_headers(numbers[doc % 4], n)
+        kind, size, again = formats.entry_headers(raw)
+        if (again != length).any():
+            raise formats.Corrupt("a header is of another length")
+        return [doc, np.array([formats.TYPES[int(k)] for k in kind], object), size]
 
-    return _each(df, ["doc_id", "n_chars"], "doc_id bigint, phys_type string, inflated_size bigint", one)
+    return _columns(df, ["doc_id", "n_chars"], "doc_id bigint, phys_type string, inflated_size bigint", run)
 
 
 def offset_varints(df: DataFrame) -> DataFrame:
-    return _each(df, ["doc_id", "n_chars"], "doc_id bigint, value bigint", lambda doc, n: (doc, formats.offset_varint(formats.encode_offset_varint(n * (doc + 1)))[0]))
+    return _columns(df, ["doc_id", "n_chars"], "doc_id bigint, value bigint", lambda doc, n: [doc, formats.offset_varints(*formats.encode_offset_varints(n * (doc + 1)))])
 
 
 def deltas(df: DataFrame, suffix: str) -> DataFrame:
     """Each document with a suffix, as a delta over the document, applied."""
 
     def one(doc: int, text: str) -> tuple:
-        base = text.encode()
+        base = _bytes(text)
         return doc, formats.apply_delta(base, formats.make_delta(base, base + suffix.encode()))
 
     return _each(df, ["doc_id", "text"], "doc_id bigint, result binary", one).select("doc_id", F.sha1("result").alias("sha"), F.octet_length("result").cast("bigint").alias("size"))
@@ -85,18 +114,17 @@ def delta_chains(turns: DataFrame) -> DataFrame:
         rows = sorted(group.to_pylist(), key=lambda r: r["turn"])
         entries, text = [], b""
         for k, r in enumerate(rows):
-            new = text + r["text"].encode()
+            new = text + _bytes(r["text"])
             entries.append(("ofs_delta", formats.make_delta(text, new), k - 1) if k else ("blob", new, None))
             text = new
         pack, offsets, _ = formats.encode_pack(entries)
         ends = [*offsets[1:], len(pack) - 20]
-        made: dict[int, bytes] = {}
-        out = []
+        found = []
         for r, at, end in zip(rows, offsets, ends, strict=True):
             e = formats.entry_header(pack[at : at + formats.HEADER_BYTES], at)
-            data = formats.inflate(pack[at + e.length : end], e.size)
-            made[at] = data if e.base_offset is None else formats.apply_delta(made[e.base_offset], data)
-            out.append((r["conv_id"], r["turn"], e.kind, len(made[at]), made[at]))
+            found.append({"offset": at, "depth": len(found), "base_at": e.base_offset, "data_start": at + e.length, "inflated_size": e.size, "row": r, "kind": e.kind, "end": end})
+        made = delta.rebuild(found, lambda start, n: formats.inflate_at(io.BytesIO(pack), start, n)[0])
+        out = [(f["row"]["conv_id"], f["row"]["turn"], f["kind"], len(data), data) for f, data in made]
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["conv_id", "turn", "phys_type", "size", "payload"])
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestore import reports
 from lodestore.functions import objects as B
 from lodestore.functions import oid as O
-from lodestore.operators import graph, index, lookup
-from lodestore.plans import binary, synth
+from lodestore.operators import delta, graph, index, lookup
+from lodestore.plans import binary, store, synth
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -101,10 +101,14 @@ def multi_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.join_prefixes(synth.blob_ids(spark, sf_dir), asked).select("prefix", "doc_id", "oid")
 
 
-@query(f"WITH {_IDS} SELECT doc_id, oid FROM ids WHERE oid IN (SELECT {_BLOB} FROM documents WHERE source = 'src0')")
+@query(f"WITH {_IDS} SELECT doc_id, oid FROM ids WHERE oid IN (SELECT {_BLOB} FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)))")
 def oid_exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of conversations, of the benchmark and of labelled documents, looked up among all documents."""
     docs = synth.blobs(spark, sf_dir)
-    return lookup.select_ids(docs.select("doc_id", "oid"), docs.filter("source = 'src0'"))
+    texts = [synth.table(spark, sf_dir, t).select("text") for t in ("conversations", "benchmark")]
+    asked = texts[0].unionByName(texts[1]).select(B.object_id("blob", synth.text_bytes()).alias("oid"))
+    asked = asked.unionByName(docs.join(synth.table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("oid"))
+    return lookup.select_ids(docs.select("doc_id", "oid"), asked)
 
 
 def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,20 +125,20 @@ def first_match_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.first_match(_locations(spark, sf_dir)).select("oid", "store", "pack_id", "offset")
 
 
-@query(f"WITH {_PLACES} SELECT oid, store, CASE WHEN store = 'loose' THEN 'objects/' || substr(oid, 1, 2) || '/' || substr(oid, 3) ELSE 'objects/pack/pack-' || pack_id || '.pack' END AS place FROM places")
-def which_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _locations(spark, sf_dir).select("oid", "store", F.coalesce("path", O.pack_path("objects", F.col("pack_id"))).alias("place"))
-
-
-@query(f"WITH {_PLACES} SELECT oid, store FROM places WHERE store = 'loose' UNION ALL SELECT oid, store FROM places WHERE store = 'packed'")
-def union_all_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = _locations(spark, sf_dir).select("oid", "store")
-    return places.filter("store = 'loose'").unionByName(places.filter("store = 'packed'"))
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.blob_ids(spark, sf_dir).select("oid").distinct()
 
 
-@query(f"WITH {_IDS} SELECT DISTINCT oid FROM ids")
-def list_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.blob_ids(spark, sf_dir).select("oid").distinct()
+@query(f"WITH {_IDS} SELECT doc_id, substr(oid, 1, 32) AS short_oid, oid AS back, oid AS from_names, oid AS from_long, CAST(NULL AS VARCHAR) AS from_text, oid AS pack, oid AS pack_of_index, CAST(NULL AS VARCHAR) AS pack_of_other FROM ids")
+def oid_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from and to text, bytes and names, upper case and longer text included; what is no id is null."""
+    oid = F.col("oid")
+    rows = synth.blobs(spark, sf_dir)
+    names = O.from_folder_and_file(F.substring(oid, 1, 2), F.substring(oid, 3, 38))
+    return rows.select(
+        "doc_id", O.truncated(F.upper(oid)).alias("short_oid"), O.from_bytes(O.to_bytes(oid)).alias("back"), names.alias("from_names"), O.full(F.concat(F.upper(oid), F.lit(" and more"))).alias("from_long"),
+        O.full(F.concat(F.lit("no id: "), "text")).alias("from_text"), O.pack_id(O.pack_path("objects", oid)).alias("pack"), O.pack_id(O.pack_path("objects", oid, "idx")).alias("pack_of_index"), O.pack_id(O.loose_path("objects", oid)).alias("pack_of_other"),
+    )
 
 
 # sorted index
@@ -145,25 +149,30 @@ _ONCE = f"WITH {_IDS}, once AS (SELECT DISTINCT oid FROM ids)"
 
 @query(f"{_ONCE} SELECT b AS byte, count(oid) AS objects, CAST(sum(count(oid)) OVER (ORDER BY b) AS BIGINT) AS cumulative FROM (SELECT unnest(range(256)) AS b) LEFT JOIN once ON CAST('0x' || substr(oid, 1, 2) AS BIGINT) = b GROUP BY b")
 def fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.fanout(list_ids(spark, sf_dir))
+    return index.fanout(_ids(spark, sf_dir))
 
 
 @query(f"{_ONCE} SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS idx_pos FROM once")
 def idx_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.positions(list_ids(spark, sf_dir))
+    return index.positions(_ids(spark, sf_dir))
 
 
 @query(f"{_ONCE}, placed AS (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS idx_pos FROM once) SELECT * FROM placed WHERE oid >= 'c8'")
 def idx_range_from_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.from_byte(index.positions(list_ids(spark, sf_dir)), 0xC8)
+    return index.from_byte(index.positions(_ids(spark, sf_dir)), 0xC8)
 
 
 @query(f"{_ONCE} SELECT bits, CAST('0x' || substr(oid, 1, 4) AS BIGINT) >> (16 - bits) AS bucket, count(*) AS objects FROM once, (SELECT unnest([8, 10]) AS bits) GROUP BY 1, 2")
 def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = list_ids(spark, sf_dir)
+    ids = _ids(spark, sf_dir)
     return index.bucket_report(ids, 8).withColumn("bits", F.lit(8)).unionByName(index.bucket_report(ids, 10).withColumn("bits", F.lit(10)))
 
 
+@query(f"{_ONCE}, b AS (SELECT CAST('0x' || substr(oid, 1, 3) AS BIGINT) >> 2 AS bucket, count(*) AS n FROM once GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS objects, CAST(1024 AS BIGINT) AS buckets, count(*) AS used, CASE WHEN count(*) < 1024 THEN 0 ELSE min(n) END AS least, max(n) AS most, CAST(sum(n) AS BIGINT) / 1024.0::DOUBLE AS mean FROM b")
+def table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.table_report(_ids(spark, sf_dir), 10)
+
+
 @query(f"WITH {_IDS} SELECT doc_id, oid FROM ids WHERE oid BETWEEN '2' AND '3fffffff'")
 def oid_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.between(synth.blob_ids(spark, sf_dir), "2", "3fffffff")
@@ -184,16 +193,11 @@ def idx_roundtrip_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.index_round_trip(synth.packed(spark, sf_dir).withColumn("offset", F.col("offset") + 3_000_000_000), 2)
 
 
-@query(f"WITH {_LAID} SELECT pack, doc_id, \"offset\" || ' ' || oid AS line FROM laid")
-def show_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synth.packed(spark, sf_dir).withColumn("crc32", F.lit(None).cast("bigint"))
-    return rows.select("pack", "doc_id", reports.index_line().alias("line"))
-
-
 @query(f"WITH {_LAID} SELECT pack, oid, \"offset\", end_offset - \"offset\" AS size_in_pack FROM laid")
 def size_in_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = synth.packed(spark, sf_dir).select(F.col("pack").alias("pack_id"), "oid", "offset", (F.col("last") + 20).alias("pack_size"))
-    return index.size_in_pack(rows).select(F.col("pack_id").alias("pack"), "oid", "offset", "size_in_pack")
+    packs = rows.groupBy("pack_id").agg(F.max("pack_size").alias("pack_size"))
+    return index.size_in_pack(rows.drop("pack_size"), packs).select(F.col("pack_id").alias("pack"), "oid", "offset", "size_in_pack")
 
 
 # packs and deltas
@@ -240,7 +244,8 @@ def verify_pack_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = 12 + F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
     t = t.withColumn("end", end)
     last = F.max("end").over(Window.partitionBy("conv_id"))
-    rows = index.size_in_pack(t.select("conv_id", "turn", "oid", F.col("parent").alias("base_oid"), F.col("n").alias("inflated_size"), F.col("conv_id").alias("pack_id"), (F.col("end") - F.col("n")).alias("offset"), (last + 20).alias("pack_size")))
+    t = t.select("conv_id", "turn", "oid", "parent", F.col("parent").alias("base_oid"), F.col("n").alias("inflated_size"), F.col("conv_id").alias("pack_id"), (F.col("end") - F.col("n")).alias("offset"), (last + 20).alias("pack_size"))
+    rows = index.size_in_pack(t.drop("pack_size", "parent"), t.groupBy("pack_id").agg(F.max("pack_size").alias("pack_size")))
     found = graph.roots(t.select(F.col("oid").alias("node"), "parent")).select(F.col("node").alias("oid"), "depth")
     return rows.join(found, "oid").withColumn("type", F.lit("blob")).select("conv_id", "turn", reports.pack_line().alias("line"))
 
@@ -271,6 +276,28 @@ def commit_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_commits(spark, sf_dir).select("conv_id", "turn", *B.parse_commit(F.col("payload"), "parents_subject")))
 
 
+@query(f"SELECT conv_id, turn, {_name('tree', 'conv_id')} AS tree, {_PARENT} AS parents, {_PERSON} AS author, {_PERSON} AS committer, split_part(text, chr(10), 1) AS subject FROM conversations")
+def commit_full_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_commits(spark, sf_dir).select("conv_id", "turn", *B.parse_commit(F.col("payload"), "full_subject")))
+
+
+@query(f"SELECT conv_id, turn, {_name('tree', 'conv_id')} AS tree, {_PARENT} AS parents, split_part(text, chr(10), 1) AS subject FROM conversations")
+def commit_tree_parents_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_commits(spark, sf_dir).select("conv_id", "turn", *B.parse_commit(F.col("payload"), "tree_parents_subject")))
+
+
+@query(f"SELECT conv_id, turn, {_name('tree', 'conv_id')} AS tree, {_PARENT} AS parents FROM conversations")
+def commit_tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_commits(spark, sf_dir).select("conv_id", "turn", *B.parse_commit(F.col("payload"), "tree_parents")))
+
+
+@query(f"SELECT conv_id, turn, substr({_PARENT}, 1, 32) AS parents, split_part(text, chr(10), 1) AS subject FROM conversations")
+def commit_short_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents as truncated ids, with the subject."""
+    parsed = _commits(spark, sf_dir).select("conv_id", "turn", *B.parse_commit(F.col("payload"), "parents_subject"))
+    return _flat(parsed.withColumn("parents", F.transform("parents", lambda p: O.short(p))))
+
+
 @query("SELECT conv_id, turn, split_part(text, chr(10), 1) AS subject, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS description FROM conversations")
 def commit_msg_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A blank line after the first line, and more at the end."""
@@ -346,7 +373,7 @@ def tree_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_name('region', 'r_regionkey')} AS root, n_name || '/' || s_name AS path, {_name('supplier', 's_suppkey')} AS oid FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
 def walk_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = synth.table(spark, sf_dir, "region").select(synth.name_id("region", "r_regionkey").alias("root"))
-    return graph.descend(synth.tree_entries(synth.region_trees(spark, sf_dir)), start).select("root", "path", "oid")
+    return graph.descend(lambda ids: synth.tree_entries(synth.region_trees(spark, sf_dir).join(ids, "tree_oid", "left_semi")), start).select("root", "path", "oid")
 
 
 # history
@@ -386,16 +413,201 @@ def ancestor_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.roots(edges).select(F.col("node").alias("o_orderkey"), "root", F.col("depth").alias("distance"))
 
 
-@query(f"SELECT DISTINCT {_name('commit', 'c.conv_id', '(c.turn - 1)')} AS oid FROM conversations c WHERE turn > 0 AND (c.turn - 1) % 3 = 0")
-def dangling_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents that a store lacks from which every third turn is gone."""
-    t = synth.turns(spark, sf_dir)
-    parents = t.filter("parent is not null").select(F.col("parent").alias("oid"))
-    return lookup.missing_ids(parents, t.filter("turn % 3 <> 0"))
+@query(f"SELECT DISTINCT {_name('document', 'doc_id')} AS oid FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def dangling_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents that the labels don't have."""
+    documents, labels = (synth.table(spark, sf_dir, t).select(synth.name_id("document", "doc_id").alias("oid")) for t in ("documents", "labels"))
+    return lookup.missing_ids(documents, labels)
+
+
+# a store on disk
+
+
+_S = f"WITH {store.SQL}"
+_AT = "CASE WHEN store = 'loose' THEN substr(oid, 1, 2) || '/' || substr(oid, 3) ELSE 'pack/pack-' || pack_id || '.pack' END"
+_COPIES = "copies AS (SELECT oid, 'loose' AS store, CAST(NULL AS VARCHAR) AS pack_id FROM loose UNION ALL SELECT oid, 'packed', pack_id FROM packed)"
+
+
+def _below(db, column: str = "path"):
+    """A path without the store's own."""
+    return F.substring(F.col(column), len(db.path) + 2, 1 << 20)
+
+
+@query(f"{_S} SELECT oid, type, octet_length(payload) AS size, sha1(payload) AS sha, store FROM once")
+def store_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object of the store, inflated and rebuilt."""
+    return store.store(spark, sf_dir).objects().select("oid", "type", "size", store.sha().alias("sha"), "store")
+
+
+@query(f"{_S} SELECT oid, type FROM once")
+def store_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.store(spark, sf_dir).kinds()
+
+
+@query(f"{_S}, {_COPIES} SELECT oid, store, pack_id, {_AT} AS place FROM copies")
+def store_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = store.store(spark, sf_dir)
+    return db.locations().select("oid", "store", "pack_id", _below(db).alias("place"))
+
+
+@query(f"{_S}, {_COPIES} SELECT oid FROM copies")
+def union_all_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids, a row for every copy."""
+    return store.store(spark, sf_dir).ids()
+
+
+@query(f"{_S} SELECT oid FROM once")
+def list_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.list_ids(store.store(spark, sf_dir))
+
+
+@query(f"{_S} SELECT pack_id, CASE WHEN kind = 'c' THEN 1 ELSE 2 END AS idx_version, CASE WHEN kind = 'c' THEN 3 ELSE 2 END AS pack_version, count(DISTINCT oid) AS num_objects FROM (SELECT 'c' AS kind, pack_id, oid FROM conv_packed UNION ALL SELECT 'd', pack_id, oid FROM doc_packed) GROUP BY kind, pack_id")
+def store_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = store.store(spark, sf_dir)
+    return db.packs().select("pack_id", "idx_version", "pack_version", "num_objects")
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS size FROM documents")
+@query(f"{_S}, {_COPIES} SELECT 'loose' AS kind, oid FROM loose WHERE starts_with(oid, 'a') UNION ALL SELECT 'packed', oid FROM packed WHERE starts_with(oid, 'a') UNION ALL SELECT 'any', oid FROM copies WHERE starts_with(oid, 'ab') UNION ALL SELECT 'folder', oid FROM loose WHERE starts_with(oid, 'ab') UNION ALL SELECT 'distinct', oid FROM once WHERE starts_with(oid, 'a')")
+def store_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loose, packed and all ids with a prefix, with copies and without."""
+    db = store.store(spark, sf_dir)
+    found = {"loose": db.loose_ids("a"), "packed": db.entries("A"), "any": db.locations("ab"), "folder": db.loose_ids("ab"), "distinct": reports.resolve_ambiguous(db, "a")}
+    frames = [df.select(F.lit(k).alias("kind"), "oid") for k, df in found.items()]
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+@query(f"{_S}, {_COPIES}, most AS (SELECT oid FROM copies GROUP BY oid ORDER BY count(*) DESC, oid LIMIT 1) SELECT oid, store, {_AT} AS place FROM copies WHERE oid IN (SELECT oid FROM most)")
+def which_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of the object that has most."""
+    db = store.store(spark, sf_dir)
+    one = db.ids().groupBy("oid").count().orderBy(F.desc("count"), "oid").first().oid
+    return reports.which_pack(db, one).select("oid", "store", _below(db).alias("place"))
+
+
+_SIZED = "row_number() OVER (PARTITION BY pack_id ORDER BY oid) - 1 AS idx_pos"
+
+
+@query(f"{_S} SELECT pack_id, {_SIZED}, oid, \"offset\" || ' ' || oid AS line, true AS crc_holds FROM doc_placed")
+def show_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every index of documents, with positions; checksums, which DuckDB lacks, are held against the packs."""
+    db = store.store(spark, sf_dir)
+    own = db.packs().filter("idx_version = 2").select("pack_id")
+    line = F.regexp_replace(reports.index_line(), r" \([0-9a-f]{8}\)$", "")
+    rows = delta.raw_checksums(db.headers().join(own, "pack_id", "left_semi"))
+    return rows.select("pack_id", "idx_pos", "oid", line.alias("line"), (F.col("crc32") == F.col("stored_crc32")).alias("crc_holds"))
+
+
+@query(f"{_S} SELECT pack_id, oid, {_SIZED} FROM (SELECT DISTINCT pack_id, oid FROM packed)")
+def store_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of every index, of both versions."""
+    return store.store(spark, sf_dir).entries().select("pack_id", "oid", "idx_pos")
+
+
+@query(f"{_S} SELECT pack_id, \"offset\", oid || ' blob   ' || size || ' ' || size_in_pack || ' ' || \"offset\" AS line FROM doc_placed")
+def verify_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of every pack of documents, whose places follow from their sizes."""
+    db = store.store(spark, sf_dir)
+    own = db.packs().filter("idx_version = 2")
+    rows = index.size_in_pack(delta.resolve(db.headers().join(own.select("pack_id"), "pack_id", "left_semi")), own)
+    return rows.select("pack_id", "offset", reports.pack_line().alias("line"))
+
+
+@query(f"{_S} SELECT pack_id, oid, phys_type, type, depth, base_oid FROM conv_packed UNION ALL SELECT pack_id, oid, 'blob', 'blob', 0, NULL FROM doc_packed")
+def objects_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, depth and base of every packed object, through chains of deltas by offset and by id."""
+    return store.store(spark, sf_dir).resolved().select("pack_id", "oid", "phys_type", "type", "depth", "base_oid")
+
+
+_SHOWN = """shown AS (
+  SELECT DISTINCT commit AS oid, 'commit' AS type, payload AS text FROM turns
+  UNION ALL SELECT tag, 'tag', tag_text FROM tagged
+  UNION ALL SELECT oid, 'blob', decode(payload) FROM once WHERE type = 'blob'
+  UNION ALL SELECT DISTINCT tree, 'tree', '100755 blob ' || blob || chr(9) || 'latest' || chr(10) || '040000 tree ' || folder || chr(9) || 'turns' FROM turns
+  UNION ALL SELECT DISTINCT folder, 'tree', string_agg('100644 blob ' || blob || chr(9) || 'turn-' || lpad(CAST(turn AS VARCHAR), 4, '0') || '.txt', chr(10)) OVER (PARTITION BY conv_id ORDER BY turn) FROM turns)"""
+
+
+@query(f"{_S}, {_SHOWN} SELECT oid, type, text FROM shown")
 def render_cat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synth.blobs(spark, sf_dir).select("doc_id", "oid", F.lit("blob").alias("type"), synth.text_bytes().alias("payload"))
-    shown = reports.render(rows).select("oid", "text")
-    return rows.select("doc_id", "oid").join(shown.dropDuplicates(["oid"]), "oid").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
+    """The text of every object of the store."""
+    return reports.render(store.store(spark, sf_dir).objects())
+
+
+@query(f"{_S}, {_SHOWN} SELECT oid, type, text FROM shown WHERE oid IN (SELECT min(oid) FROM once GROUP BY type)")
+def cat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first object of each type by a prefix that no other has: its bucket and its chain are read, no more."""
+    db = store.store(spark, sf_dir)
+    out = None
+    for r in db.kinds().groupBy("type").agg(F.min("oid").alias("oid")).orderBy("type").collect():
+        shown = reports.cat_file(db, r.oid[:16])
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
+@query(f"{_S} SELECT oid, type, octet_length(payload) AS size, sha1(payload) AS sha, store FROM once WHERE oid IN (SELECT oid FROM blobs UNION ALL SELECT commit FROM turns)")
+def store_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of given ids, of all documents and commits, each by its own chain."""
+    db = store.store(spark, sf_dir)
+    ids = synth.blob_ids(spark, sf_dir).select("oid").unionByName(db.commits("parents").select("oid"))
+    return db.fetch(ids).select("oid", "type", "size", store.sha().alias("sha"), "store")
+
+
+@query(f"{_S} SELECT commit AS oid, tree, coalesce(parent, '') AS parents, {_PERSON} AS author, {_PERSON} AS committer, split_part(text, chr(10), 1) AS subject FROM turns")
+def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(store.store(spark, sf_dir).commits("full_subject"))
+
+
+@query(f"""{_S} SELECT DISTINCT tree AS tree_oid, unnest([0, 1]) AS pos, unnest(['100755', '040000']) AS mode, unnest(['blob', 'tree']) AS kind, unnest(['latest', 'turns']) AS name, unnest([blob, folder]) AS oid FROM turns
+  UNION ALL SELECT DISTINCT t.folder, u.turn, '100644', 'blob', 'turn-' || lpad(CAST(u.turn AS VARCHAR), 4, '0') || '.txt', u.blob FROM turns t JOIN turns u ON u.conv_id = t.conv_id AND u.turn <= t.turn""")
+def store_tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.store(spark, sf_dir).tree_entries().withColumn("pos", F.col("pos").cast("bigint"))
+    return rows.select("tree_oid", "pos", "mode", "kind", "name", "oid")
+
+
+@query(f"{_S} SELECT tag AS oid, commit AS object, 'commit' AS object_type, 'v' || conv_id AS tag, {_PERSON} AS tagger, text AS message FROM tagged")
+def store_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.store(spark, sf_dir).tags()
+
+
+@query(f"{_S} SELECT oid, octet_length(payload) AS size, decode(payload) AS text FROM once WHERE type = 'blob'")
+def store_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.store(spark, sf_dir).blobs().select("oid", "size", "text")
+
+
+_LOGGED = "logged AS (SELECT h.commit AS head, h.turn - t.turn AS depth, t.commit AS oid, t.commit || ' ' || split_part(t.text, chr(10), 1) AS line FROM turns h JOIN turns t ON t.conv_id = h.conv_id AND t.turn <= h.turn WHERE h.turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = h.conv_id))"
+
+
+def _store_heads(db) -> DataFrame:
+    """Commits that are no other's parent."""
+    commits = db.commits("parents")
+    return lookup.missing_ids(commits, commits.select(F.explode("parents").alias("oid")))
+
+
+@query(f"{_S}, {_LOGGED} SELECT * FROM logged")
+def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of every head of the store, by doubling."""
+    db = store.store(spark, sf_dir)
+    return reports.log(db.commits("parents_subject"), _store_heads(db)).select("head", "depth", "oid", "line")
+
+
+@query(f"{_S}, {_LOGGED} SELECT * FROM logged WHERE depth < 3")
+def store_log_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three commits of every head (the limit is the feature); no other commit is read."""
+    db = store.store(spark, sf_dir)
+    subject = B.commit_field(F.col("payload"), "subject")
+    return db.history(_store_heads(db), 3).select("head", "depth", "oid", F.concat_ws(" ", "oid", subject).alias("line"))
+
+
+@query(f"{_S} SELECT DISTINCT t.tree AS root, u.blob AS oid, 'turns/turn-' || lpad(CAST(u.turn AS VARCHAR), 4, '0') || '.txt' AS path FROM turns t JOIN turns u ON u.conv_id = t.conv_id AND u.turn <= t.turn UNION ALL SELECT DISTINCT tree, blob, 'latest' FROM turns")
+def store_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blobs of every commit's tree, by path."""
+    db = store.store(spark, sf_dir)
+    return graph.descend(db.tree_entries, db.commits("tree_parents").select(F.col("tree").alias("root")).distinct())
+
+
+@query(f"{_S} SELECT oid, store, true AS id_holds, true AS crc_holds FROM once")
+def store_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each object's id is that of its bytes, and the checksum in its index, if it has any, that of the pack's."""
+    return store.store(spark, sf_dir).verify().select("oid", "store", "id_holds", F.coalesce("crc_holds", F.lit(True)).alias("crc_holds"))

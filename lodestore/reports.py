@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestore.db import ObjectDB
 from lodestore.functions import objects as B
 from lodestore.functions import oid as O
-from lodestore.operators import graph, lookup
+from lodestore.operators import delta, graph, index, lookup
+from lodestore.session import stash
 
 
 def cat_file(db: ObjectDB, prefix: str, digits: int = 40) -> DataFrame:
@@ -41,9 +42,7 @@ def show_index(db: ObjectDB, pack_id: str, digits: int = 40) -> DataFrame:
 
 def verify_pack(db: ObjectDB, pack_id: str, digits: int = 40) -> DataFrame:
     """offset and line (id, type, size as stored, size in the pack, offset, depth and base), in the order of offsets."""
-    from lodestore.operators import delta
-
-    rows = delta.resolve(db.headers([pack_id]))
+    rows = index.size_in_pack(delta.resolve(db.headers([pack_id])), db.packs())
     return rows.select("offset", pack_line(digits).alias("line")).orderBy("offset")
 
 
@@ -53,9 +52,16 @@ def pack_line(digits: int = 40):
 
 
 def log_oneline(db: ObjectDB, prefix: str, limit: int | None = None, digits: int = 40) -> DataFrame:
-    """depth and line (id and subject), from the commit with a prefix along first parents."""
-    head = lookup.resolve(db.locations(prefix), prefix)
-    return log(db.commits("parents_subject"), db.spark.createDataFrame([(head,)], "oid string"), limit, digits).select("depth", "line").orderBy("depth")
+    """depth and line (id and subject), from the commit with a prefix along first parents.
+
+    With a ``limit`` no more commits than that are read, one after the other; without, all are, and joined by doubling.
+    """
+    head = db.one(prefix)
+    if limit is None:
+        commits = stash(db.commits("parents_subject"), "commits")
+        return log(commits, head, None, digits).select("depth", "line").orderBy("depth")
+    subject = B.commit_field(F.col("payload"), "subject")
+    return db.history(head, limit).select("depth", F.concat_ws(" ", O.short(F.col("oid"), digits), subject).alias("line")).orderBy("depth")
 
 
 def log(commits: DataFrame, heads: DataFrame, limit: int | None = None, digits: int = 40) -> DataFrame:
@@ -77,6 +83,6 @@ def which_pack(db: ObjectDB, prefix: str) -> DataFrame:
 
 
 def walk(db: ObjectDB, prefix: str) -> DataFrame:
-    """oid and path of every blob of the commit with a prefix."""
-    found = db.get(prefix).filter("type = 'commit'").select(B.commit_field(F.col("payload"), "tree").alias("root"))
-    return graph.descend(db.tree_entries(), found).select("oid", "path")
+    """oid and path of every blob of the commit with a prefix; of other objects only the trees on the way are read."""
+    found = db.get(prefix, ["commit"]).select(B.commit_field(F.col("payload"), "tree").alias("root"))
+    return graph.descend(db.tree_entries, found).select("oid", "path")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 LOOSE_IDS = "oid string, path string"
 PACKS = "pack_id string, idx_version int, pack_version int, num_objects bigint, idx_path string, pack_path string, pack_size bigint"
-PACK_ENTRIES = "pack_id string, idx_pos bigint, oid string, offset bigint, crc32 bigint, end_offset bigint"
+PACK_ENTRIES = "pack_id string, idx_pos bigint, oid string, offset bigint, crc32 bigint"
 PACK_HEADERS = PACK_ENTRIES + ", phys_type string, inflated_size bigint, data_start bigint, base_offset bigint, base_ref string, pack_path string"
 LOOSE_HEADERS = "oid string, type string, size bigint, path string"
 LOOSE_OBJECTS = "oid string, type string, size bigint, payload binary, path string"

@@ -56,6 +56,16 @@ def remove(path: str) -> None:
         system.delete_dir(at)
 
 
+def mounted(uri: str) -> str:
+    """The path of a folder that is mounted on all executors; an error for any other."""
+    from pyarrow import fs
+
+    system, path = filesystem(uri)
+    if not isinstance(system, fs.LocalFileSystem):
+        raise ValueError(f"an object store has to lie on a mounted file system: {uri}")
+    return path
+
+
 _own: set[str] = set()
 
 

@@ -9,8 +9,8 @@ kind=loose          loose objects, inflated
 
 A source can't be told which columns are wanted, so payloads are a kind of their own. The options prefix, low and high
 (ids, ends included) and packs (pack ids, by commas) leave out folders that can't match, and of an index all but the
-positions that its fanout leaves; rows beside them may remain, so a filter belongs on top. They are options because in
-Spark 4.1 what one scan of a DataFrame pushes into a Python source stays there for its next scan, which then lacks
+positions between the ends, which are bisected; no task reads an index beyond its slice. The option types (by commas)
+leaves out loose objects of other types, of which only the head is inflated. They are options because in Spark 4.1 what one scan of a DataFrame pushes into a Python source stays there for its next scan, which then lacks
 rows. Folders and slices are partitions. mode=PERMISSIVE skips damaged files, FAILFAST (the default) fails. The folder
 has to be mounted on every executor.
 """
@@ -26,12 +26,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestore import formats
 from lodestore.schema import KINDS
+from lodestore.sources.reader import pack_ids
 
 #: Index entries that one task reads, and objects in one batch.
 SLICE, ROWS = 1 << 20, 4096
 #: Bytes of payload in one batch.
 BATCH_BYTES = 8 << 20
-_HEX38, _IDX = re.compile("^[0-9a-f]{38}$"), re.compile("^pack-([0-9a-f]{40})\\.idx$")
+_HEX38 = re.compile("^[0-9a-f]{38}$")
 _LOW, _HIGH = "0" * 40, "f" * 40
 
 
@@ -81,6 +82,7 @@ class ObjectStoreReader(DataSourceReader):
         if prefix := options.get("prefix", "").lower():
             self._narrow(prefix, prefix.ljust(40, "f"))
         self._narrow(options.get("low", _LOW), options.get("high", _HIGH))
+        self.types = frozenset(t for t in options["types"].split(",") if t) if "types" in options else None
         self.only = {p for p in options["packs"].split(",") if p} if "packs" in options else None
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"no object store: {self.root}")
@@ -89,10 +91,7 @@ class ObjectStoreReader(DataSourceReader):
         self.ranges = [(max(a, low), min(b, high)) for a, b in self.ranges if max(a, low) <= min(b, high)]
 
     def packs(self) -> list[str]:
-        folder = f"{self.root}/pack"
-        names = os.listdir(folder) if os.path.isdir(folder) else []
-        found = sorted(m[1] for n in names if (m := _IDX.match(n)))
-        return [p for p in found if self.only is None or p in self.only]
+        return [p for p in pack_ids(self.root) if self.only is None or p in self.only]
 
     def partitions(self) -> Sequence[InputPartition]:
         if self.kind == "packs":
@@ -107,16 +106,12 @@ class ObjectStoreReader(DataSourceReader):
         out = []
         for pack in self.packs():
             try:
-                with open(f"{self.root}/pack/pack-{pack}.idx", "rb") as f:
-                    fanout = formats.index_head(f)[1]
+                index = formats.IndexMap(f"{self.root}/pack/pack-{pack}.idx")
             except formats.Corrupt:
                 if self.permissive:
                     continue
                 raise
-            spans = []
-            for a, b in self.ranges:
-                first, last = (int(x[:2].ljust(2, "0"), 16) if re.match("^[0-9a-f]", x) else d for x, d in ((a, 0), (b, 255)))
-                spans.append((int(fanout[first - 1]) if first else 0, int(fanout[last])))
+            spans = [index.bounds(a, b) for a, b in self.ranges]
             for lo, hi in _merged(spans):
                 out += [Slice(pack, i, min(i + self.slice, hi)) for i in range(lo, hi, self.slice)]
         return out or [Folder("", "", "")]
@@ -164,13 +159,12 @@ class ObjectStoreReader(DataSourceReader):
                 rows.append((oid, path))
             else:
                 try:
-                    with open(path, "rb") as f:
-                        if self.kind == "loose_headers":
-                            rows.append((oid, *formats.loose_header(f.read(4096)), path))
-                        else:
-                            kind, payload = formats.decode_loose(f.read())
-                            rows.append((oid, kind, len(payload), payload, path))
-                            size += len(payload)
+                    if self.kind == "loose_headers":
+                        with open(path, "rb") as f:
+                            rows.append((oid, *formats.loose_header(f.read(formats.LOOSE_HEAD)), path))
+                    elif found := formats.read_loose(path, self.types):
+                            rows.append((oid, found[0], len(found[1]), found[1], path))
+                            size += len(found[1])
                 except formats.Corrupt as e:
                     if not self.permissive:
                         raise formats.Corrupt(f"{path}: {e}") from None
@@ -185,44 +179,33 @@ class ObjectStoreReader(DataSourceReader):
         types, names = {"ids": ((s, s), "oid path"), "loose_headers": ((s, s, n, s), "oid type size path"), "loose": ((s, s, n, pa.binary(), s), "oid type size payload path")}[self.kind]
         return _batch(rows, types, names)
 
-    def _ends(self, pack: str, offsets):
-        """Where each entry ends: at the next offset of the pack, the last at its trailer."""
-        import numpy as np
-
-        with open(f"{self.root}/pack/pack-{pack}.idx", "rb") as f:
-            every = np.sort(formats.read_index(f).offsets)
-        path = f"{self.root}/pack/pack-{pack}.pack"
-        ends = np.append(every[1:], os.path.getsize(path) - 20 if os.path.exists(path) else -1)
-        return ends[np.searchsorted(every, offsets)]
-
     def _slice(self, part: Slice):
         with open(f"{self.root}/pack/pack-{part.pack}.idx", "rb") as f:
-            index = formats.read_index(f, part.lo, part.hi)
-        return index, self._ends(part.pack, index.offsets)
+            return formats.read_index(f, part.lo, part.hi)
 
     def _entries(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        index, ends = self._slice(part)
+        index = self._slice(part)
         for i in range(0, len(index.ids), 1 << 16):
             k = slice(i, i + (1 << 16))
             n = len(index.ids[k])
             crc = pa.nulls(n, pa.int64()) if index.crc is None else pa.array(index.crc[k])
-            cols = [pa.array([part.pack] * n), pa.array(range(part.lo + i, part.lo + i + n), pa.int64()), pa.array(index.ids[k]), pa.array(index.offsets[k]), crc, pa.array(ends[k])]
-            yield pa.record_batch(cols, names="pack_id idx_pos oid offset crc32 end_offset".split())
+            cols = [pa.array([part.pack] * n), pa.array(range(part.lo + i, part.lo + i + n), pa.int64()), pa.array(index.ids[k]), pa.array(index.offsets[k]), crc]
+            yield pa.record_batch(cols, names="pack_id idx_pos oid offset crc32".split())
 
     def _headers(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        index, ends = self._slice(part)
+        index = self._slice(part)
         path = f"{self.root}/pack/pack-{part.pack}.pack"
-        types = (pa.string(), *[pa.int64()], pa.string(), *[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = "pack_id idx_pos oid offset crc32 end_offset phys_type inflated_size data_start base_offset base_ref pack_path"
+        types = (pa.string(), *[pa.int64()], pa.string(), *[pa.int64()] * 2, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = "pack_id idx_pos oid offset crc32 phys_type inflated_size data_start base_offset base_ref pack_path"
         rows = []
         with open(path, "rb") as f:
             formats.pack_head(f.read(12))
             for i in sorted(range(len(index.ids)), key=index.offsets.__getitem__):
                 at = int(index.offsets[i])
                 f.seek(at)
-                e = formats.entry_header(f.read(min(formats.HEADER_BYTES, int(ends[i]) - at)), at)
+                e = formats.entry_header(f.read(formats.HEADER_BYTES), at)
                 crc = None if index.crc is None else int(index.crc[i])
-                rows.append((part.pack, part.lo + i, index.ids[i], at, crc, int(ends[i]), e.kind, e.size, at + e.length, e.base_offset, e.base_ref, path))
+                rows.append((part.pack, part.lo + i, index.ids[i], at, crc, e.kind, e.size, at + e.length, e.base_offset, e.base_ref, path))
                 if len(rows) == ROWS:
                     yield _batch(rows, types, names)
                     rows = []

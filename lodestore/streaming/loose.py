@@ -1,7 +1,8 @@
 """A stream of loose objects as they appear in a store.
 
-Offsets are times in nanoseconds: a batch has the objects whose files were changed after the last offset and not after
-the new one. Files are written under another name and renamed, so a name that is there is whole.
+Offsets are times in nanoseconds: a batch has the objects that got their names after the last offset and not after the
+new one. Files are written under another name and renamed, so a name that is there is whole; a rename sets a file's time
+of status change, not that of modification, which may lie long before, or be kept from another store.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class LooseStream(DataSourceStreamReader):
             folder = f"{self.root}/{n:02x}"
             if os.path.isdir(folder):
                 with os.scandir(folder) as found:
-                    newest = max([newest, *(t for f in found if len(f.name) == 38 and (t := f.stat().st_mtime_ns) <= settled)])
+                    newest = max([newest, *(t for f in found if len(f.name) == 38 and (t := f.stat().st_ctime_ns) <= settled)])
         return {"ns": newest}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -53,7 +54,7 @@ class LooseStream(DataSourceStreamReader):
         if part.bucket:
             reader = ObjectStoreReader(self.options)
             for batch in reader.read(Folder(part.bucket, "0" * 40, "f" * 40)):
-                when = [os.stat(p).st_mtime_ns for p in batch.column(batch.num_columns - 1).to_pylist()]
+                when = [os.stat(p).st_ctime_ns for p in batch.column(batch.num_columns - 1).to_pylist()]
                 yield batch.filter(pa.array([part.start < w <= part.end for w in when]))
 
     def commit(self, end: dict) -> None:

@@ -2,6 +2,7 @@ import io
 import random
 import re
 
+import numpy as np
 import pytest
 import stores
 from hypothesis import given, settings
@@ -140,7 +141,7 @@ def test_mixed_chains_and_versions(spark, tmp_path):
         assert {r.crc32 is None for r in db.entries().collect()} <= {idx == 1}
         assert sorted(r.depth for r in db.resolved().collect()) == (sorted(range(51)) if own is items else [0, 0, 1] if own else [])
         if own is items:
-            last = db.objects(spark.createDataFrame([(items[-1][0],)], "oid string")).collect()
+            last = db.fetch(spark.createDataFrame([(items[-1][0],), ("0" * 40,), (None,), ("x",)], "oid string")).collect()
             assert [bytes(r.payload) for r in last] == [texts[-1]]
             one = db.get(items[7][0][:20]).first()
             assert bytes(one.payload) == texts[7] and one.store == "packed"
@@ -176,6 +177,140 @@ def test_copies_and_damage(spark, tmp_path):
         ObjectDB(spark, str(lost)).resolved().collect()
 
 
+def damage(root, pack, oids):
+    """Spoils the streams of entries, not their headers."""
+    index = formats.read_index(io.BytesIO((root / "pack" / f"pack-{pack}.idx").read_bytes()))
+    path = root / "pack" / f"pack-{pack}.pack"
+    raw = bytearray(path.read_bytes())
+    for o in oids:
+        at = int(index.offsets[index.ids.index(o)])
+        e = formats.entry_header(bytes(raw[at : at + 32]), at)
+        for i in range(at + e.length, at + e.length + 8):
+            raw[i] ^= 0xFF
+    path.write_bytes(raw)
+
+
+def typed_store(root):
+    """A commit, its trees and blobs, once loose and once packed, and the ids of the blobs."""
+    names = {}
+    for place in ("loose", "packed"):
+        blob = place.encode() * 5000
+        inner = b"100644 file\0" + bytes.fromhex(stores.oid("blob", blob))
+        tree = b"40000 dir\0" + bytes.fromhex(stores.oid("tree", inner))
+        commit = f"tree {stores.oid('tree', tree)}\nauthor a <a> 0 +0000\ncommitter a <a> 0 +0000\n\n{place}\n".encode()
+        names[place] = [(stores.oid(k, d), k, d, None) for k, d in (("blob", blob), ("tree", inner), ("tree", tree), ("commit", commit))]
+    for _, kind, data, _ in names["loose"]:
+        stores.put_loose(root, kind, data)
+    # a chain of blobs, too
+    base = names["packed"][0]
+    names["packed"].append((stores.oid("blob", base[2] + b"x"), "ref", stores.append_delta(base[2], b"x"), base[0]))
+    stores.put_pack(root, names["packed"])
+    pack = next(p.stem[5:] for p in (root / "pack").glob("*.idx"))
+    return names, pack
+
+
+def test_reads_of_a_type_inflate_no_other(spark, tmp_path):
+    names, pack = typed_store(tmp_path)
+    blobs = [n[0] for n in (names["packed"][0], names["packed"][4])]
+    damage(tmp_path, pack, blobs)
+    own = names["loose"][0][0]
+    path = tmp_path / own[:2] / own[2:]
+    raw = path.read_bytes()
+    path.write_bytes(raw[:-6])  # its checksum is gone, its head is whole
+    db = ObjectDB(spark, str(tmp_path))
+    assert {r.message for r in db.commits("full").collect()} == {"loose", "packed"}
+    assert {(r.kind, r.name) for r in db.tree_entries().collect()} == {("tree", "dir"), ("blob", "file")} and db.tree_entries().count() == 4
+    assert db.kinds().count() == 9
+    assert sorted(r.path for p in names for r in reports.walk(db, names[p][3][0]).collect()) == ["dir/file"] * 2
+    assert len(reports.log_oneline(db, names["packed"][3][0][:12], 5).collect()) == 1
+    with pytest.raises(PySparkException):
+        db.blobs().collect()
+    plan = db.commits()._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert "commit" in below.split("Exchange")[1] or "= commit" in below
+
+
+def test_one_object_opens_one_chain(spark, tmp_path):
+    names, pack = typed_store(tmp_path)
+    tip, base = names["packed"][4][0], names["packed"][0]
+    damage(tmp_path, pack, [n[0] for n in names["packed"][1:4]])
+    db = ObjectDB(spark, str(tmp_path))
+    assert bytes(db.get(tip[:10]).first().payload) == base[2] + b"x" and db.get(base[0]).first().offset == 12
+    assert db.get(tip, ["commit"]).count() == 0
+    with pytest.raises(PySparkException):
+        db.get(names["packed"][3][0]).collect()
+    lax = ObjectDB(spark, str(tmp_path), mode="PERMISSIVE")
+    assert lax.get(names["packed"][3][0]).count() == 0
+
+
+def test_bounds_in_an_index(tmp_path):
+    rng = random.Random(4)
+    for version in (1, 2):
+        rows = sorted((stores.oid("blob", bytes([i % 256, i // 256])), 2**31 * (i % 3) * (version == 2) + i, i) for i in range(700))
+        path = tmp_path / f"{version}.idx"
+        path.write_bytes(formats.encode_index(rows, version=version))
+        index, ids = formats.IndexMap(str(path)), [r[0] for r in rows]
+        assert [index.find(o) for o in ids] == [r[1] for r in rows] and index.find("0" * 40) is None and index.find("f" * 40) is None
+        for _ in range(200):
+            low, high = sorted("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([1, 2, 3, 8, 40]))) for _ in range(2))
+            lo, hi = index.bounds(low, high)
+            assert ids[lo:hi] == [o for o in ids if low.ljust(40, "0") <= o <= high.ljust(40, "f")]
+
+
+def test_malformed_trees_and_commits_are_errors(spark, tmp_path):
+    good = stores.put_loose(tmp_path, "tree", b"100644 a\0" + b"\1" * 20)
+    stores.put_loose(tmp_path, "tree", b"100644 a\0" + b"\1" * 20 + b"100644 b\0short")
+    stores.put_loose(tmp_path, "commit", b"tree " + b"a" * 40 + b"\nno author\n\nx")
+    db, lax = ObjectDB(spark, str(tmp_path)), ObjectDB(spark, str(tmp_path), mode="PERMISSIVE")
+    with pytest.raises(PySparkException, match="not entries to its end"):
+        db.tree_entries().collect()
+    with pytest.raises(PySparkException, match="no author"):
+        db.commits().collect()
+    assert [r.tree_oid for r in lax.tree_entries().collect()] == [good] and lax.commits().count() == 0
+
+
+def test_an_ambiguous_prefix_lists_all(spark, tmp_path):
+    names = sorted(stores.put_loose(tmp_path, "blob", bytes([i % 256, i // 256])) for i in range(700))
+    many = [o for o in names if o[0] == "a"]
+    with pytest.raises(lookup.Ambiguous) as e:
+        ObjectDB(spark, str(tmp_path)).get("a")
+    assert e.value.candidates == many[:20] and [r.oid for r in e.value.every.collect()] == many and len(many) > 20
+
+
+def test_stream_of_a_file_that_is_older_than_what_was_seen(spark, tmp_path):
+    import os
+    import shutil
+    import time
+
+    from lodestore.session import configure
+    from lodestore.streaming.loose import counts_by_type, new_objects
+
+    configure(spark)
+    elsewhere = tmp_path / "elsewhere"
+    elsewhere.mkdir()
+    old = stores.put_loose(elsewhere, "blob", b"written long ago")
+    os.utime(elsewhere / old[:2] / old[2:], (1, 1))
+    root = tmp_path / "objects"
+    root.mkdir()
+    want = {stores.put_loose(root, "blob", b"new")}
+    assert set(counts_by_type(new_objects(spark, str(root))).columns) == {"window", "type", "objects", "bytes"}
+    query = new_objects(spark, str(root)).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "late")).start()
+    try:
+        for n in (1, 2):
+            for _ in range(120):
+                got = [r.oid for r in spark.table("late").collect()]
+                if len(got) >= n:
+                    break
+                time.sleep(0.25)
+            assert sorted(got) == sorted(want)
+            (root / old[:2]).mkdir(exist_ok=True)
+            if n == 1:
+                shutil.move(elsewhere / old[:2] / old[2:], root / old[:2] / old[2:])
+            want.add(old)
+    finally:
+        query.stop()
+
+
 def test_stream_of_new_objects(spark, tmp_path):
     import time
 
@@ -209,6 +344,15 @@ def test_codecs(a, b, n):
         e = formats.entry_header(formats.encode_entry_header(kind, n) + b"\1" * 20, 12)
         assert (e.kind, e.size) == (kind, n)
     assert formats.decode_loose(formats.encode_loose("blob", a)) == ("blob", a)
+    stream = formats.stored(a)
+    assert formats.inflate_at(io.BytesIO(b"xx" + stream + b"trailer"), 2, len(a)) == (a, 2 + len(stream))
+    sizes = np.array([n, n >> 3, n >> 40, 0, 15, 16, 2047, 2048])
+    numbers = np.array([1, 2, 3, 4, 1, 2, 3, 4])
+    raw, length = formats.encode_entry_headers(numbers, sizes)
+    assert [bytes(r[:k]) for r, k in zip(raw, length)] == [formats.encode_entry_header(formats.TYPES[int(t)], int(x)) for t, x in zip(numbers, sizes)]
+    assert all((x == y).all() for x, y in zip(formats.entry_headers(raw), (numbers, sizes, length)))
+    raw, length = formats.encode_offset_varints(sizes)
+    assert [bytes(r[10 - k :]) for r, k in zip(raw, length)] == [formats.encode_offset_varint(int(x)) for x in sizes] and (formats.offset_varints(raw, length) == sizes).all()
 
 
 def test_codecs_of_whole_files():
