@@ -23,9 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestore.llm import common
 
@@ -356,14 +355,15 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars, as often as the links still change: a few rounds for any but very long chains.
     Each round is written to the shared folder.
     """
-    over = Window.partitionBy("a")
+    # the least neighbour comes by an aggregate and a join, which a node with very many neighbours can't crowd into one task
+    lowest = lambda e: e.join(e.groupBy("a").agg(F.min("b").alias("m")), "a")
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges, before = common.stash(edges, "links"), None
     while True:
         last = edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(over))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.withColumn("m", F.min("b").over(over))
+        large = lowest(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        low = lowest(large)
         edges = common.stash(low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct(), "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         common.drop(last)
