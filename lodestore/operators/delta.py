@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +63,10 @@ def rebuild(rows: list[dict], read: Callable[[int, int], bytes]) -> Iterator[tup
         yield r, data
 
 
+#: Families whose roots lie in one stretch of a pack are rebuilt by one task, one after the other.
+STRETCH = 1 << 24
+
+
 def contents(resolved: DataFrame) -> DataFrame:
     """The objects of packs.
 
@@ -70,19 +76,20 @@ def contents(resolved: DataFrame) -> DataFrame:
     """
     rows = resolved.select("pack_id", "root_offset", "oid", "type", "offset", "data_start", "inflated_size", "base_at", "depth", "pack_path")
 
-    def family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = [r for b in batches for r in b.to_pylist()]
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = sorted((r for b in batches for r in b.to_pylist()), key=itemgetter("root_offset"))
         with open(members[0]["pack_path"], "rb") as f:
             out, size = [], 0
-            for r, data in rebuild(members, lambda start, n: formats.inflate_at(f, start, n)[0]):
-                out.append((r["oid"], r["type"], len(data), data, r["pack_id"], r["offset"]))
-                size += len(data)
-                if size > BATCH_BYTES:
-                    yield _contents(out)
-                    out, size = [], 0
+            for _, family in groupby(members, itemgetter("root_offset")):
+                for r, data in rebuild(list(family), lambda start, n: formats.inflate_at(f, start, n)[0]):
+                    out.append((r["oid"], r["type"], len(data), data, r["pack_id"], r["offset"]))
+                    size += len(data)
+                    if size > BATCH_BYTES:
+                        yield _contents(out)
+                        out, size = [], 0
             yield _contents(out)
 
-    return rows.groupBy("pack_id", "root_offset").applyInArrow(family, CONTENT)
+    return rows.groupBy("pack_id", F.floor(F.col("root_offset") / STRETCH).alias("stretch")).applyInArrow(stretch, CONTENT)
 
 
 def _contents(rows: list[tuple]) -> pa.RecordBatch:

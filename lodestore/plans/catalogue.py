@@ -10,6 +10,7 @@ from lodestore.functions import objects as B
 from lodestore.functions import oid as O
 from lodestore.operators import delta, graph, index, lookup
 from lodestore.plans import binary, store, synth
+from lodestore.session import stash
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -579,17 +580,16 @@ def store_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOGGED = "logged AS (SELECT h.commit AS head, h.turn - t.turn AS depth, t.commit AS oid, t.commit || ' ' || split_part(t.text, chr(10), 1) AS line FROM turns h JOIN turns t ON t.conv_id = h.conv_id AND t.turn <= h.turn WHERE h.turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = h.conv_id))"
 
 
-def _store_heads(db) -> DataFrame:
+def _store_heads(commits: DataFrame) -> DataFrame:
     """Commits that are no other's parent."""
-    commits = db.commits("parents")
     return lookup.missing_ids(commits, commits.select(F.explode("parents").alias("oid")))
 
 
 @query(f"{_S}, {_LOGGED} SELECT * FROM logged")
 def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of every head of the store, by doubling."""
-    db = store.store(spark, sf_dir)
-    return reports.log(db.commits("parents_subject"), _store_heads(db)).select("head", "depth", "oid", "line")
+    commits = stash(store.store(spark, sf_dir).commits("parents_subject"), "commits")
+    return reports.log(commits, _store_heads(commits)).select("head", "depth", "oid", "line")
 
 
 @query(f"{_S}, {_LOGGED} SELECT * FROM logged WHERE depth < 3")
@@ -597,7 +597,8 @@ def store_log_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three commits of every head (the limit is the feature); no other commit is read."""
     db = store.store(spark, sf_dir)
     subject = B.commit_field(F.col("payload"), "subject")
-    return db.history(_store_heads(db), 3).select("head", "depth", "oid", F.concat_ws(" ", "oid", subject).alias("line"))
+    heads = _store_heads(stash(db.commits("parents"), "commits"))
+    return db.history(heads, 3).select("head", "depth", "oid", F.concat_ws(" ", "oid", subject).alias("line"))
 
 
 @query(f"{_S} SELECT DISTINCT t.tree AS root, u.blob AS oid, 'turns/turn-' || lpad(CAST(u.turn AS VARCHAR), 4, '0') || '.txt' AS path FROM turns t JOIN turns u ON u.conv_id = t.conv_id AND u.turn <= t.turn UNION ALL SELECT DISTINCT tree, blob, 'latest' FROM turns")
