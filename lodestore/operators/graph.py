@@ -65,7 +65,7 @@ def descend(entries: Callable[[DataFrame], DataFrame], start: DataFrame) -> Data
     are as deep as paths are, so rounds are few; each asks for the trees found last, and those alone. Submodules are not
     followed.
     """
-    level = start.select("root", F.col("root").alias("tree_oid"), F.lit("").alias("path"))
+    level = stash(start.select("root", F.col("root").alias("tree_oid"), F.lit("").alias("path")), "walk")
     found = None
     while True:
         inner = level.join(entries(level.select("tree_oid").distinct()), "tree_oid").select("root", "kind", "oid", F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("/"), F.col("name")).alias("path"))

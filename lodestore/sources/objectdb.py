@@ -28,17 +28,19 @@ from lodestore import formats
 from lodestore.schema import KINDS
 from lodestore.sources.reader import pack_ids
 
-#: Index entries that one task reads, and objects in one batch.
-SLICE, ROWS = 1 << 20, 4096
+#: Index entries and folders of loose objects that one task reads, and objects in one batch.
+SLICE, FOLDERS, ROWS = 1 << 20, 8, 4096
 #: Bytes of payload in one batch.
 BATCH_BYTES = 8 << 20
 _HEX38 = re.compile("^[0-9a-f]{38}$")
 _LOW, _HIGH = "0" * 40, "f" * 40
 
 
-class Folder(InputPartition):
-    def __init__(self, bucket: str, low: str, high: str):
-        self.bucket, self.low, self.high = bucket, low, high
+class Folders(InputPartition):
+    """Loose objects of some folders; ``low`` and ``high`` are the ends of what can match in each."""
+
+    def __init__(self, buckets: list[tuple[str, str, str]]):
+        self.buckets = buckets
 
 
 class Slice(InputPartition):
@@ -101,8 +103,8 @@ class ObjectStoreReader(DataSourceReader):
             for n in range(256):
                 own = [(a, b) for a, b in self.ranges if a[:2] <= f"{n:02x}" <= b[:2]]
                 if own and os.path.isdir(f"{self.root}/{n:02x}"):
-                    out.append(Folder(f"{n:02x}", min(a for a, _ in own), max(b for _, b in own)))
-            return out or [Folder("", "", "")]
+                    out.append((f"{n:02x}", min(a for a, _ in own), max(b for _, b in own)))
+            return [Folders(out[i : i + FOLDERS]) for i in range(0, len(out), FOLDERS)] or [Folders([])]
         out = []
         for pack in self.packs():
             try:
@@ -114,15 +116,16 @@ class ObjectStoreReader(DataSourceReader):
             spans = [index.bounds(a, b) for a, b in self.ranges]
             for lo, hi in _merged(spans):
                 out += [Slice(pack, i, min(i + self.slice, hi)) for i in range(lo, hi, self.slice)]
-        return out or [Folder("", "", "")]
+        return out or [Folders([])]
 
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         if isinstance(part, All):
             yield from self._packs()
         elif isinstance(part, Slice):
             yield from self._guard(self._entries(part) if self.kind == "entries" else self._headers(part))
-        elif part.bucket:
-            yield from self._loose(part)
+        else:
+            for bucket, low, high in part.buckets:
+                yield from self._loose(bucket, low, high)
 
     def _guard(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -149,11 +152,11 @@ class ObjectStoreReader(DataSourceReader):
         types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
         yield _batch(rows, types, "pack_id idx_version pack_version num_objects idx_path pack_path pack_size")
 
-    def _loose(self, part: Folder) -> Iterator[pa.RecordBatch]:
+    def _loose(self, bucket: str, low: str, high: str) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for name in sorted(os.listdir(f"{self.root}/{part.bucket}")):
-            oid, path = part.bucket + name, f"{self.root}/{part.bucket}/{name}"
-            if not _HEX38.match(name) or not part.low <= oid <= part.high:
+        for name in sorted(os.listdir(f"{self.root}/{bucket}")):
+            oid, path = bucket + name, f"{self.root}/{bucket}/{name}"
+            if not _HEX38.match(name) or not low <= oid <= high:
                 continue
             if self.kind == "ids":
                 rows.append((oid, path))

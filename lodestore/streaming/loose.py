@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSourceStreamReader, InputPartition
 
-from lodestore.sources.objectdb import Folder, ObjectStoreReader
+from lodestore.sources.objectdb import Folders, ObjectStoreReader
 
 #: Younger files wait for the next batch, so that none of a coarse clock's tick is missed.
 SETTLE_NS = 50_000_000
@@ -53,7 +53,7 @@ class LooseStream(DataSourceStreamReader):
     def read(self, part: Since) -> Iterator[pa.RecordBatch]:
         if part.bucket:
             reader = ObjectStoreReader(self.options)
-            for batch in reader.read(Folder(part.bucket, "0" * 40, "f" * 40)):
+            for batch in reader.read(Folders([(part.bucket, "0" * 40, "f" * 40)])):
                 when = [os.stat(p).st_ctime_ns for p in batch.column(batch.num_columns - 1).to_pylist()]
                 yield batch.filter(pa.array([part.start < w <= part.end for w in when]))
 
