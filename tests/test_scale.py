@@ -64,3 +64,18 @@ def test_a_reader_keeps_few_files_open(tmp_path, monkeypatch):
         assert own.chain(pack, index.offset(0))[0] == "commit"
     assert len(own.indexes) == 2 and len(own.packs) == 2
     own.close()
+
+
+def test_walks_ask_for_all_trees_of_a_level_together(spark, tmp_path):
+    roots = []
+    for i in range(FEW + 8):
+        blob = f"text {i}".encode()
+        inner = b"100644 file\0" + bytes.fromhex(stores.oid("blob", blob))
+        tree = b"40000 dir\0" + bytes.fromhex(stores.oid("tree", inner))
+        stores.put_pack(tmp_path, [(stores.oid(k, d), k, d, None) for k, d in (("blob", blob), ("tree", inner), ("tree", tree))])
+        roots.append((stores.oid("tree", tree), stores.oid("blob", blob)))
+    db = ObjectDB(spark, str(tmp_path))
+    asked = spark.createDataFrame([(r,) for r, _ in roots], "tree_oid string")
+    assert "Join" in plan(db.tree_entries(asked))
+    found = reports.graph.descend(db.tree_entries, asked.select(F.col("tree_oid").alias("root"))).collect()
+    assert {(r.root, r.oid, r.path) for r in found} == {(r, b, "dir/file") for r, b in roots}
