@@ -11,21 +11,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore import formats
+from lodestore import formats, session
 from lodestore.operators import delta
 
 
-def _each(df: DataFrame, columns: list[str], schema: str, one: Callable[..., tuple]) -> DataFrame:
-    """``one`` over each row of ``columns``, by Arrow batches."""
+#: Rows, and bytes of what is made, in one batch.
+ROWS, BATCH_BYTES = 4096, 4 << 20
+
+
+def made(batches: Iterator[pa.RecordBatch], fields: list[list[str]], one: Callable[..., tuple]) -> Iterator[pa.RecordBatch]:
+    """``one`` over each row, which is converted alone; what is made goes on as soon as it has ROWS rows or BATCH_BYTES bytes."""
     types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [one(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+    rows, size = [], 0
+    for b in batches:
+        for row in zip(*b.columns, strict=True):
+            rows.append(one(*(x.as_py() for x in row)))
+            size += sum(len(x) for x in rows[-1] if isinstance(x, (bytes, str)))
+            if size > BATCH_BYTES or len(rows) == ROWS:
+                yield batch(rows)
+                rows, size = [], 0
+    yield batch(rows)
+
 
-    return df.select(*columns).mapInArrow(run, schema)
+def _each(df: DataFrame, columns: list[str], schema: str, one: Callable[..., tuple]) -> DataFrame:
+    """``one`` over each row of ``columns``, by Arrow batches whose size doesn't follow from that of the batches read."""
+    session.configure(df.sparkSession)
+    fields = [f.split() for f in schema.split(", ")]
+    return df.select(*columns).mapInArrow(lambda batches: made(batches, fields, one), schema)
 
 
 def _bytes(text: str | None) -> bytes:

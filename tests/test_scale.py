@@ -79,3 +79,19 @@ def test_walks_ask_for_all_trees_of_a_level_together(spark, tmp_path):
     assert "Join" in plan(db.tree_entries(asked))
     found = reports.graph.descend(db.tree_entries, asked.select(F.col("tree_oid").alias("root"))).collect()
     assert {(r.root, r.oid, r.path) for r in found} == {(r, b, "dir/file") for r, b in roots}
+
+
+def test_batches_of_long_texts_are_small(spark):
+    texts = ["x" * 1_000_000] * 40
+    given = pa.record_batch([pa.array(range(40)), pa.array(texts)], names=["n", "t"])
+    out = list(binary.made(iter([given]), [["n", "bigint"], ["b", "binary"]], lambda n, t: (n, t.encode())))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(40))
+    assert len(out) > 5 and max(b.nbytes for b in out) < binary.BATCH_BYTES + 2_000_000
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1_000_000).alias("text")).coalesce(1)
+
+    def most(batches):
+        yield pa.record_batch([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    binary.deltas(rows, "y")
+    assert rows.mapInArrow(most, "n bigint").first().n < 12_000_000
+    assert binary.deltas(rows, "y").filter("size = 1000001").count() == 40
