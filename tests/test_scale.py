@@ -66,6 +66,23 @@ def test_a_reader_keeps_few_files_open(tmp_path, monkeypatch):
     own.close()
 
 
+def test_histories_go_from_pack_to_pack(spark, tmp_path):
+    heads, above, every = scattered(tmp_path)
+    db = ObjectDB(spark, str(tmp_path))
+    for limit in (1, 3, 20):
+        want = []
+        for h in [*heads, heads[0]]:
+            at, d = h, 0
+            while at and d < limit:
+                want.append((h, d, at, every[at]))
+                at, d = above[at], d + 1
+        many = db.history(spark.createDataFrame([(h,) for h in [*heads, heads[0]]], "oid string"), limit)
+        assert "Join" not in plan(many)
+        assert sorted((r.head, r.depth, r.oid, bytes(r.payload)) for r in many.collect()) == sorted(want)
+        alone = db.history(spark.createDataFrame([(heads[0],)], "oid string"), limit)
+        assert sorted((r.head, r.depth, r.oid, bytes(r.payload)) for r in alone.collect()) == sorted({w for w in want if w[0] == heads[0]})
+
+
 def test_walks_ask_for_all_trees_of_a_level_together(spark, tmp_path):
     roots = []
     for i in range(FEW + 8):
