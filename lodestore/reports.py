@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestore.db import ObjectDB
 from lodestore.functions import objects as B
 from lodestore.functions import oid as O
-from lodestore.operators import delta, graph, index, lookup
+from lodestore.operators import graph, index, lookup
 from lodestore.session import stash
 
 
@@ -42,7 +42,7 @@ def show_index(db: ObjectDB, pack_id: str, digits: int = 40) -> DataFrame:
 
 def verify_pack(db: ObjectDB, pack_id: str, digits: int = 40) -> DataFrame:
     """offset and line (id, type, size as stored, size in the pack, offset, depth and base), in the order of offsets."""
-    rows = index.size_in_pack(delta.resolve(db.headers([pack_id])), db.packs())
+    rows = index.size_in_pack(db.resolved([pack_id]), db.packs())
     return rows.select("offset", pack_line(digits).alias("line")).orderBy("offset")
 
 

@@ -98,6 +98,31 @@ def test_walks_ask_for_all_trees_of_a_level_together(spark, tmp_path):
     assert {(r.root, r.oid, r.path) for r in found} == {(r, b, "dir/file") for r, b in roots}
 
 
+def chained(root, packs=3):
+    """Packs of chains by offset and by id, and copies of their first object."""
+    for n in range(packs):
+        texts = [bytes([n]) * 3000]
+        items = [(stores.oid("blob", texts[0]), "blob", texts[0], None)]
+        for i in range(1, 9):
+            delta = stores.append_delta(texts[-1], bytes([i]))
+            texts.append(texts[-1] + bytes([i]))
+            items.append((stores.oid("blob", texts[-1]), "ofs", delta, i - 1) if i % 2 else (stores.oid("blob", texts[-1]), "ref", delta, items[-1][0]))
+        stores.put_pack(root, items)
+
+
+def test_chains_are_followed_pack_by_pack(spark, tmp_path):
+    chained(tmp_path)
+    db = ObjectDB(spark, str(tmp_path))
+    own = db.resolved()
+    assert "Join" not in plan(own) and db.headers().rdd.getNumPartitions() == own.rdd.getNumPartitions() == 1
+    db.local = 0  # every pack is large then
+    far = db.resolved()
+    assert "Join" in plan(far) and own.columns == far.columns
+    assert sorted(map(str, own.collect())) == sorted(map(str, far.collect()))
+    assert sorted(r.depth for r in own.collect()) == sorted([*range(9)] * 3)
+    assert db.resolved(types=["tree"]).count() == 0 and own.filter("type = 'blob'").count() == db.resolved(types=["blob"]).count() == 27
+
+
 def test_batches_of_long_texts_are_small(spark):
     texts = ["x" * 1_000_000] * 40
     given = pa.record_batch([pa.array(range(40)), pa.array(texts)], names=["n", "t"])
