@@ -123,6 +123,25 @@ def test_chains_are_followed_pack_by_pack(spark, tmp_path):
     assert db.resolved(types=["tree"]).count() == 0 and own.filter("type = 'blob'").count() == db.resolved(types=["blob"]).count() == 27
 
 
+def test_copies_that_do_not_count_are_not_inflated(spark, tmp_path):
+    """Of three copies of a tag, the loose one is read; the spoilt ones in packs are not."""
+    tag = b"object " + b"a" * 40 + b"\ntype commit\ntag v1\ntagger a <a> 0 +0000\n\nm\n"
+    name = stores.put_loose(tmp_path, "tag", tag)
+    tree = b"100644 a\0" + b"\1" * 20
+    stores.put_pack(tmp_path, [(name, "tag", tag, None), (stores.oid("tree", tree), "tree", tree, None)])
+    pack = next(p.stem[5:] for p in (tmp_path / "pack").glob("*.idx"))
+    with open(tmp_path / "pack" / f"pack-{pack}.idx", "rb") as f:
+        index = formats.read_index(f)
+    raw = bytearray((tmp_path / "pack" / f"pack-{pack}.pack").read_bytes())
+    at = int(index.offsets[index.ids.index(name)])
+    for i in range(at + 3, at + 11):
+        raw[i] ^= 0xFF
+    (tmp_path / "pack" / f"pack-{pack}.pack").write_bytes(raw)
+    db = ObjectDB(spark, str(tmp_path))
+    assert [(r.oid, r.tag) for r in db.tags().collect()] == [(name, "v1")]
+    assert {(r.oid, r.store) for r in db.objects().collect()} == {(name, "loose"), (stores.oid("tree", tree), "packed")}
+
+
 def test_batches_of_long_texts_are_small(spark):
     texts = ["x" * 1_000_000] * 40
     given = pa.record_batch([pa.array(range(40)), pa.array(texts)], names=["n", "t"])
