@@ -142,6 +142,12 @@ def test_copies_that_do_not_count_are_not_inflated(spark, tmp_path):
     assert {(r.oid, r.store) for r in db.objects().collect()} == {(name, "loose"), (stores.oid("tree", tree), "packed")}
 
 
+def test_trees_are_not_moved_after_they_are_read(spark, tmp_path):
+    chained(tmp_path)
+    whole = plan(ObjectDB(spark, str(tmp_path)).tree_entries())
+    assert "Join" not in whole and "Exchange" not in whole[: whole.index("FlatMapGroupsInArrow")]
+
+
 def test_batches_of_long_texts_are_small(spark):
     texts = ["x" * 1_000_000] * 40
     given = pa.record_batch([pa.array(range(40)), pa.array(texts)], names=["n", "t"])
