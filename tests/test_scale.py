@@ -148,6 +148,19 @@ def test_trees_are_not_moved_after_they_are_read(spark, tmp_path):
     assert "Join" not in whole and "Exchange" not in whole[: whole.index("FlatMapGroupsInArrow")]
 
 
+def test_one_read_gives_content_and_checksum(spark, tmp_path):
+    chained(tmp_path)
+    db = ObjectDB(spark, str(tmp_path))
+    found = db.verify()
+    assert "Join" not in plan(found) and plan(found).count("InArrow") == 1
+    assert found.filter("id_holds and crc_holds").count() == 27
+    idx = next((tmp_path / "pack").glob("*.idx"))
+    raw = bytearray(idx.read_bytes())
+    raw[1032 + 20 * 9] ^= 1  # the checksum of the first id
+    idx.write_bytes(raw)
+    assert [r.oid for r in db.verify().filter("not crc_holds").collect()] == [raw[1032:1052].hex()]
+
+
 def test_batches_of_long_texts_are_small(spark):
     texts = ["x" * 1_000_000] * 40
     given = pa.record_batch([pa.array(range(40)), pa.array(texts)], names=["n", "t"])
