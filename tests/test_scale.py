@@ -175,3 +175,11 @@ def test_batches_of_long_texts_are_small(spark):
     binary.deltas(rows, "y")
     assert rows.mapInArrow(most, "n bigint").first().n < 12_000_000
     assert binary.deltas(rows, "y").filter("size = 1000001").count() == 40
+
+
+def test_many_reads_are_spread_over_tasks(spark, tmp_path):
+    """Rows of places are short: by their bytes, adaptive execution would put the reads of all of them in one task."""
+    _, _, every = scattered(tmp_path)
+    db = ObjectDB(spark, str(tmp_path))
+    found = db.fetch(spark.createDataFrame([(o,) for o in every], "oid string"))
+    assert found.count() == len(every) and found.select(F.spark_partition_id()).distinct().count() > 3
