@@ -1,5 +1,6 @@
 """What keeps reads of a store linear: lookups by joins, chains by packs, copies settled before any is read, small batches."""
 
+import inspect
 import random
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestore import formats, reports
 from lodestore.db import FEW, ObjectDB
-from lodestore.plans import binary
+from lodestore.plans import binary, store
 from lodestore.sources import reader
 
 
@@ -183,3 +184,26 @@ def test_many_reads_are_spread_over_tasks(spark, tmp_path):
     db = ObjectDB(spark, str(tmp_path))
     found = db.fetch(spark.createDataFrame([(o,) for o in every], "oid string"))
     assert found.count() == len(every) and found.select(F.spark_partition_id()).distinct().count() > 3
+
+
+def test_histories_of_many_heads_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    heads, _, _ = scattered(tmp_path)
+    db, used = ObjectDB(spark, str(tmp_path)), []
+
+    def placed(asked, own=db._placed):
+        used.append(own(asked).select(F.spark_partition_id()).distinct().count())
+        return own(asked)
+
+    monkeypatch.setattr(db, "_placed", placed)
+    assert db.history(spark.createDataFrame([(h,) for h in heads], "oid string"), 3).count() == 150
+    assert used[0] > 3
+
+
+def test_loose_objects_are_written_without_a_shuffle(spark, tmp_path):
+    name = stores.oid("blob", b"text")
+    rows = spark.createDataFrame([(name, "blob", b"text")] * 20, "oid string, type string, payload binary").repartition(4)
+    for _ in range(2):
+        assert store._write_loose(rows, str(tmp_path)).agg(F.sum("n")).first()[0] == 20
+    assert [p.name for p in tmp_path.rglob("*") if p.is_file()] == [name[2:]]
+    text = inspect.getsource(store.store)
+    assert "dropDuplicates" not in text and "distinct" not in text
