@@ -4,6 +4,7 @@ import inspect
 import random
 
 import pyarrow as pa
+import pytest
 import stores
 from pyspark.sql import functions as F
 
@@ -207,3 +208,26 @@ def test_loose_objects_are_written_without_a_shuffle(spark, tmp_path):
     assert [p.name for p in tmp_path.rglob("*") if p.is_file()] == [name[2:]]
     text = inspect.getsource(store.store)
     assert "dropDuplicates" not in text and "distinct" not in text
+
+
+def test_trees_are_parsed_once(spark, tmp_path):
+    """Modes, names with blanks and line breaks, ids with zeros and blanks; what is no entry is an error."""
+    ids = [b"\0" * 20, b" " * 20, b"\n1 a\0" * 4]
+    good = b"".join(m + b" " + n + b"\0" + i for m, n, i in zip((b"100644", b"40000", b"160000"), (b"a b", b"c\nd", b"\xff 1"), ids, strict=True))
+    assert formats.tree_entries(b"") == [] and [x[2] for x in formats.tree_entries(good)] == ids
+    for bad in (good[:-1], good + b"1", b"x" + good, good[:31] + b"8" + good[31:]):
+        with pytest.raises(formats.Corrupt, match="not entries to its end"):
+            formats.tree_entries(bad)
+    for data in (good, b""):
+        stores.put_loose(tmp_path, "tree", data)
+    db = ObjectDB(spark, str(tmp_path))
+    found = db.tree_entries()
+    assert "regexp" not in plan(found)
+    rows = sorted(found.collect(), key=lambda r: r.pos)
+    assert [(r.tree_oid, r.pos, r.mode, r.kind, r.name, r.oid, r.mode_raw, bytes(r.name_raw)) for r in rows] == [
+        (stores.oid("tree", good), 0, "100644", "blob", "a b", ids[0].hex(), "100644", b"a b"),
+        (stores.oid("tree", good), 1, "040000", "tree", "c\nd", ids[1].hex(), "40000", b"c\nd"),
+        (stores.oid("tree", good), 2, "160000", "commit", "\ufffd 1", ids[2].hex(), "160000", b"\xff 1"),
+    ]
+    stores.put_loose(tmp_path, "tree", good + b"1")
+    assert ObjectDB(spark, str(tmp_path), "PERMISSIVE").tree_entries().count() == 3
